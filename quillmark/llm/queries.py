@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillmark.llm.chat import OP8_SQL, op8_chat_format
 from quillmark.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from quillmark.llm.simhash import op10_simhash
 from quillmark.llm.token_files import op4_token_files
 
 
@@ -14,8 +16,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_token_files": op4_token_files,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_chat_format": op8_chat_format,
+        "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL}
+    return {"op7_exact_dedup": OP7_SQL, "op8_chat_format": OP8_SQL}
