@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm.chat import OP8_SQL, op8_chat_format
 from quillmark.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from quillmark.llm.packing import op6_best_fit_packing
+from quillmark.llm.quality import op9_quality
 from quillmark.llm.simhash import op10_simhash
 from quillmark.llm.token_files import op4_token_files
 
@@ -15,8 +17,10 @@ from quillmark.llm.token_files import op4_token_files
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_token_files": op4_token_files,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_chat_format": op8_chat_format,
+        "op9_quality": op9_quality,
         "op10_simhash": op10_simhash,
     }
 
