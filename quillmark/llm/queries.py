@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmark.llm.chat import OP8_SQL, op8_chat_format
 from quillmark.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from quillmark.llm.language import op5_language
+from quillmark.llm.nearest import op3_nearest
 from quillmark.llm.packing import op6_best_fit_packing
 from quillmark.llm.quality import op9_quality
 from quillmark.llm.simhash import op10_simhash
@@ -17,6 +18,7 @@ from quillmark.llm.token_files import op4_token_files
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_nearest": op3_nearest,
         "op4_token_files": op4_token_files,
         "op5_language": op5_language,
         "op6_best_fit_packing": op6_best_fit_packing,
