@@ -11,7 +11,8 @@ reports only what reaches it, so few rows travel.  Reported products are taken i
 
 Nulls: vectors that are null, zero, hold a null or non-finite component or have another number of dimensions than the
 sample's most common one take no part, nor do rows without an id.  Ties go to the smaller id.  A repeated id counts
-once, with its best product; no query is its own neighbour.  A query that finds fewer than k candidates returns those.
+once, with its best product; no query is its own neighbour.  Visits go on until the leaves hold
+more than k vectors of the sample, so only a table of fewer than k candidates gives fewer, and then all of them.
 An empty table gives an empty result.  Other columns are not read.
 """
 
@@ -76,13 +77,14 @@ class Tree:
         down(0, np.arange(len(x)))
         return out
 
-    def visit(self, q: np.ndarray, visits: int) -> list[int]:
-        """The leaves of a best-bin-first search, in the order of its visits."""
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < visits:
+    def visit(self, q: np.ndarray, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The leaves of a best-bin-first search, in the order of its visits; more of them until they hold ``least``."""
+        queue, found, seen = [(0.0, 0)], [], 0 if sizes is not None else least
+        while queue and (len(found) < visits or seen < least):
             node = heapq.heappop(queue)[1]
             if node in self.leaf_of:
                 found.append(self.leaf_of[node])
+                seen += 0 if sizes is None else int(sizes[found[-1]])
             else:
                 for s, child in zip((-(self.matrix[node] @ q)).tolist(), self.children[node], strict=True):
                     heapq.heappush(queue, (s, child))
@@ -117,6 +119,7 @@ class Index:
         self.tree = Tree(vectors)
         self.ids, self.vectors = ids, vectors.astype(np.float32)
         self.visits, self.recall = self._calibrate(recall, probes)
+        self.sizes = np.bincount(self.leaves, minlength=len(self.tree.leaf_of))
 
     def _calibrate(self, target: float, probes: int) -> tuple[int, float]:
         x, leaves = self.vectors.astype(np.float64), len(self.tree.leaf_of)
@@ -194,7 +197,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
             x = _matrix(b.column(1), dims)
             for lo in range(0, len(x), 256):
                 part, ids = x[lo : lo + 256], b.column(0).slice(lo, 256).to_pylist()
-                leaves = [index.tree.visit(q, index.visits) for q in part]
+                leaves = [index.tree.visit(q, index.visits, index.sizes, k + 1) for q in part]
                 at = np.repeat(np.arange(len(part)), [len(v) for v in leaves])
                 floors = np.array([index.floor(i, q, v) for i, q, v in zip(ids, part, leaves, strict=True)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(leaves), pa.int32()), pa.array(np.array(ids)[at]), pa.array(floors[at]), b.column(1).slice(lo, 256).take(pa.array(at))], names=NAMES)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillmark.llm.chat import OP8_SQL, op8_chat_format
 from quillmark.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from quillmark.llm.html_content import op2_html_content
 from quillmark.llm.language import op5_language
 from quillmark.llm.nearest import op3_nearest
 from quillmark.llm.packing import op6_best_fit_packing
@@ -18,6 +19,7 @@ from quillmark.llm.token_files import op4_token_files
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_html_content": op2_html_content,
         "op3_nearest": op3_nearest,
         "op4_token_files": op4_token_files,
         "op5_language": op5_language,
