@@ -12,6 +12,7 @@ from quillmark.llm.html_content import op2_html_content
 from quillmark.llm.language import op5_language
 from quillmark.llm.nearest import op3_nearest
 from quillmark.llm.packing import op6_best_fit_packing
+from quillmark.llm.pieces import op1_sentencepiece
 from quillmark.llm.quality import op9_quality
 from quillmark.llm.simhash import op10_simhash
 from quillmark.llm.token_files import op4_token_files
@@ -19,6 +20,7 @@ from quillmark.llm.token_files import op4_token_files
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sentencepiece": op1_sentencepiece,
         "op2_html_content": op2_html_content,
         "op3_nearest": op3_nearest,
         "op4_token_files": op4_token_files,
