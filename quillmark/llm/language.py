@@ -264,3 +264,26 @@ def language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def drop_unknown(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose language is known with a score of at least ``least``, with all their columns.
+
+    Without a model (nothing could be learned) every text with a letter stays.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, sample))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        model = shared.value
+        for b in batches:
+            for lo, hi in slices(b.column(at), SLICE_BYTES):
+                part = b.slice(lo, hi - lo)
+                if model is None:
+                    kept = words_of(part.column(at))[2] > 0
+                else:
+                    sums, counts = posterior_sums(part.column(at), model)
+                    kept = (counts > 0) & (sums.max(axis=1) >= least * counts)
+                yield part.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

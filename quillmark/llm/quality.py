@@ -177,3 +177,10 @@ def quality(docs: DataFrame, labels: DataFrame, host: str | Column = "source", p
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", "lang")
+
+
+def drop_poor(docs: DataFrame, labels: DataFrame, host: str | Column = "source", path: str | Column | None = None) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.  A doc_id stays if any of its rows is kept."""
+    good = written(quality(docs, labels, host, path).where("kept").select(F.col("doc_id").alias("good_id")).distinct(), "quality-kept")
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return row.join(good, F.col("row.doc_id").cast("long").eqNullSafe(F.col("good_id")), "left_semi").select("row.*")
