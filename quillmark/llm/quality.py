@@ -15,6 +15,7 @@ mean label and are kept.  An empty table gives an empty result.  Other columns a
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,43 +145,83 @@ def strength(sites: DataFrame) -> float:
     return float(min(1e6, max(1.0, within / between))) if between > 0 else 1e6
 
 
+def _posterior(p: Column, site: Column, logit: Column, mu: float) -> Column:
+    odds = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
+    return 1 / (1 + F.exp(-(logit + odds(site) - odds(F.lit(mu)))))
+
+
+def site_key() -> Column:
+    """A host and its path as one key: the length of the host keeps them apart."""
+    return F.concat_ws(":", F.length("host").cast("string"), "host", "path").alias("site_key")
+
+
+class Sites:
+    """The hierarchy: shrunk means of hosts as priors of their paths, and how much evidence a prior is worth."""
+
+    def __init__(self, scored: DataFrame):
+        stats = (F.count(F.lit(1)).alias("n"), F.sum("p").alias("total"), F.sum(F.col("p") * F.col("p")).alias("squares"))
+        paths = written(scored.groupBy("host", "path").agg(*stats), "quality-paths")
+        hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.count(F.lit(1)).alias("paths"))
+        hosts = written(hosts, "quality-hosts")
+        whole = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+        self.n, self.mu = whole["n"] or 0, (whole["total"] or 0.0) / (whole["n"] or 1)
+        mean, within = F.col("total") / F.col("n"), F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - (F.col("total") / F.col("n")) ** 2)
+        k_host = strength(hosts.select("n", mean.alias("mean"), within.alias("within"), F.lit(self.mu).alias("prior")))
+        hosts = hosts.select("host", "paths", ((F.col("total") + k_host * self.mu) / (F.col("n") + k_host)).alias("prior"))
+        paths = written(join_groups(paths, hosts, "host", "paths", paths.count()), "quality-priors")
+        self.k_path = strength(paths.select("n", mean.alias("mean"), within.alias("within"), "prior"))
+        self.table = paths.select(site_key(), F.col("n").alias("site_n"), F.col("total").alias("site_total"), "prior")
+
+    def joined(self, rows: DataFrame, logit: Column | None = None) -> DataFrame:
+        """rows (host, path and others) with site and quality; a row's own evidence is not in its site's.
+
+        Rows have logit and p, or logit is how to get it; it is then taken once a row has met its site.
+        """
+        met = join_groups(rows.select("*", site_key()), self.table, "site_key", "site_n", self.n)
+        if logit is not None:
+            met = met.withColumn("logit", logit).withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
+        site = (F.col("site_total") - F.col("p") + self.k_path * F.col("prior")) / (F.col("site_n") - 1 + self.k_path)
+        met = met.withColumn("site", F.least(F.lit(1.0), F.greatest(F.lit(0.0), site)))
+        return met.withColumn("quality", _posterior(F.col("p"), F.col("site"), F.col("logit"), self.mu))
+
+
+def _columns(host: str | Column, path: str | Column | None) -> tuple[Column, Column]:
+    return F.col(host) if isinstance(host, str) else host, F.lit("") if path is None else F.col(path) if isinstance(path, str) else path
+
+
 def quality(docs: DataFrame, labels: DataFrame, host: str | Column = "source", path: str | Column | None = None, limit: int = LABELLED) -> DataFrame:
     """doc_id, host, path, classifier (its probability), site (the path's shrunk mean), quality (posterior), kept.
 
     host and path are columns of ``docs``; a table without URLs has sections in place of paths (here: languages).
     """
-    host = F.col(host) if isinstance(host, str) else host
-    path = F.lit("") if path is None else F.col(path) if isinstance(path, str) else path
-    rows = written(with_features(docs, host, path), "quality-features")
+    rows = written(with_features(docs, *_columns(host, path)), "quality-features")
     scored = written(_with_evidence(rows, train(rows, labels, limit)), "quality-evidence")
-    stats = (F.count(F.lit(1)).alias("n"), F.sum("p").alias("total"), F.sum(F.col("p") * F.col("p")).alias("squares"))
-    paths = written(scored.groupBy("host", "path").agg(*stats), "quality-paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares"), F.count(F.lit(1)).alias("paths"))
-    hosts = written(hosts, "quality-hosts")
-    whole = hosts.agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
-    n, mu = whole["n"] or 0, (whole["total"] or 0.0) / (whole["n"] or 1)
-    mean, within = F.col("total") / F.col("n"), F.greatest(F.lit(0.0), F.col("squares") / F.col("n") - (F.col("total") / F.col("n")) ** 2)
-    k_host = strength(hosts.select("n", mean.alias("mean"), within.alias("within"), F.lit(mu).alias("prior")))
-    hosts = hosts.select("host", "paths", ((F.col("total") + k_host * mu) / (F.col("n") + k_host)).alias("prior"))
-    paths = written(join_groups(paths, hosts, "host", "paths", paths.count()), "quality-priors")
-    k_path = strength(paths.select("n", mean.alias("mean"), within.alias("within"), "prior"))
-    # a host and its path make one key: the length of the host keeps them apart
-    key = F.concat_ws(":", F.length("host").cast("string"), "host", "path").alias("site_key")
-    sites = paths.select(key, F.col("n").alias("site_n"), F.col("total").alias("site_total"), "prior")
-    joined = join_groups(scored.select("*", key), sites, "site_key", "site_n", n)
-    logit = lambda c: F.log(F.greatest(c, F.lit(1e-6)) / F.greatest(1 - c, F.lit(1e-6)))
-    site = (F.col("site_total") - F.col("p") + k_path * F.col("prior")) / (F.col("site_n") - 1 + k_path)
-    out = joined.select("doc_id", "host", "path", F.col("p").alias("classifier"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), site)).alias("site"), "logit")
-    posterior = 1 / (1 + F.exp(-(F.col("logit") + logit(F.col("site")) - logit(F.lit(mu)))))
-    return out.select("doc_id", "host", "path", "classifier", "site", posterior.alias("quality"), (posterior >= KEEP).alias("kept"))
+    out = Sites(scored).joined(scored)
+    return out.select("doc_id", "host", "path", F.col("p").alias("classifier"), "site", "quality", (F.col("quality") >= KEEP).alias("kept"))
 
 
-def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", "lang")
+def drop_poor(docs: DataFrame, labels: DataFrame, host: str | Column = "source", path: str | Column | None = None, limit: int = LABELLED) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
 
+    The sites are known before the texts are read again, so a text is scored where it stands, and only texts of sites
+    with few rows are shuffled, once.
+    """
+    host, path = _columns(host, path)
+    rows = written(with_features(docs, host, path), "quality-features")
+    model = train(rows, labels, limit)
+    sites = Sites(written(_with_evidence(rows, model), "quality-evidence"))
+    site = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), site(host).alias("host"), site(path).alias("path"))
 
-def drop_poor(docs: DataFrame, labels: DataFrame, host: str | Column = "source", path: str | Column | None = None) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns.  A doc_id stays if any of its rows is kept."""
-    good = written(quality(docs, labels, host, path).where("kept").select(F.col("doc_id").alias("good_id")).distinct(), "quality-kept")
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    return row.join(good, F.col("row.doc_id").cast("long").eqNullSafe(F.col("good_id")), "left_semi").select("row.*")
+    @F.pandas_udf("double")
+    def logit(texts: pd.Series) -> pd.Series:
+        if model is None:
+            return pd.Series(np.zeros(len(texts)))
+        x = np.array([features((t or "").encode("utf-8", "surrogatepass")) for t in texts]).reshape(len(texts), N_FEATURES)
+        return pd.Series(np.clip(((expanded(x) - model["mean"]) / model["scale"]) @ model["w"], -15, 15))
+
+    return sites.joined(row, logit(F.col("row.text").cast("string"))).where(F.col("quality") >= KEEP).select("row.*")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "source", "lang")
