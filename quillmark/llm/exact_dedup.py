@@ -174,15 +174,16 @@ def exact_dedup(docs: DataFrame, shards: int | None = None) -> DataFrame:
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of equal texts one row, with the largest doc_id.
 
-    Of rows that agree in doc_id and text one stays.  The texts take part in one shuffle, on (doc_id, digest).
+    Of rows that agree in doc_id and text one stays.  The texts take part in one shuffle, on (doc_id, digest); the
+    choice of one row needs no other, and the plan is the same at every size.
     """
     groups = written(digest_groups(written(with_digest(docs), "digests")), "digest-groups")
-    names = docs.columns
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("keep_key")  # noqa: E731  # equality holds for null ids too
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     lowered = F.translate(F.coalesce(F.col("row.text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    marked = row.select("row", F.col("row.doc_id").cast("long").alias("keep_id"), F.unhex(F.sha2(lowered, 256)).alias("text_digest"))
-    kept = marked.join(groups.select("keep_id", "text_digest"), marked.keep_id.eqNullSafe(groups.keep_id) & (marked.text_digest == groups.text_digest), "left_semi")
-    return kept.groupBy("keep_id", "text_digest").agg(F.first("row").alias("row")).select("row.*")
+    marked = row.select("row", key(F.col("row.doc_id").cast("long")), F.unhex(F.sha2(lowered, 256)).alias("text_digest"))
+    kept = marked.join(groups.select(key(F.col("keep_id")), "text_digest").hint("merge"), ["keep_key", "text_digest"], "left_semi")
+    return kept.groupBy("keep_key", "text_digest").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
