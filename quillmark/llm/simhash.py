@@ -239,14 +239,15 @@ def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest doc_id.
 
-    Of rows that share that doc_id one stays, and one of those without a doc_id if a component has no other.
+    Of rows that share that doc_id one stays, and one of those without a doc_id if a component has no other.  The
+    texts take part in one shuffle, on the doc_id, at every size.
     """
     found = simhash_components(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep_id"), F.col("fingerprint").alias("keep_print")).distinct()
-    names = docs.columns
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
-    kept = row.join(written(keep.select("keep_id").distinct(), "keepers"), F.col("row.doc_id").cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
-    return kept.groupBy(F.col("row.doc_id").alias("id")).agg(F.first("row").alias("row")).select("row.*")
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("keep_key")  # noqa: E731  # equality holds for null ids too
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id"))).distinct()
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", key(F.col("row.doc_id").cast("long")))
+    kept = row.join(written(keep, "keepers").hint("merge"), "keep_key", "left_semi")
+    return kept.groupBy("keep_key").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
