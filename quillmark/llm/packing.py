@@ -49,16 +49,18 @@ class Complements:
                 yield a, total - a
             a -= 1
 
-    def fills(self, length: int) -> Iterator[tuple[int, ...]]:
-        """Combinations with ``length`` that sum to the size exactly, by number of lengths."""
+    def fills(self, length: int, most: int) -> Iterator[tuple[int, ...]]:
+        """Combinations of ``length`` and at most ``most`` others that sum to the size exactly, fewest lengths first."""
         gap = self.size - length
         if not gap:
             yield (length,)
             return
         if self.counts[gap]:
             yield length, gap
-        for a, b in self.pairs(gap):
+        for a, b in self.pairs(gap) if most > 1 else ():
             yield length, a, b
+        if most < 3:
+            return
         for a in (np.flatnonzero(self.counts[: max(1, gap - 1)])[::-1]).tolist():
             for b, c in self.pairs(gap - a):
                 if b <= a and self.counts[a]:
@@ -66,13 +68,21 @@ class Complements:
 
 
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths) and how many sequences have each; counts[n] pieces have length n."""
+    """Patterns (lengths) and how many sequences have each; counts[n] pieces have length n.
+
+    Exact fills by many short lengths can leave long ones without a partner, so plans with up to three, two and one
+    lengths in a gap are made, and the one of fewest sequences is taken (the histogram is small, however much there is).
+    """
+    return min((_plan(counts, most) for most in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(counts: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
     counts = np.array(counts, np.int64)
     size = len(counts) - 1
     index, out, rest = Complements(counts), [], np.zeros(size + 1, np.int64)
     for length in range(size, 0, -1):
         if counts[length]:
-            for combo in index.fills(length):
+            for combo in index.fills(length, most):
                 if n := index.times(combo):
                     out.append((combo, n))
                     for x in combo:
@@ -86,21 +96,20 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         left = int(rest[length])
         while left:
             fits = np.flatnonzero(gaps[length:])
-            if not len(fits):
-                pattern, n, gap = (), left, size
-            else:
-                gap = length + int(fits[0])
-                pattern, n = open_bins[gap].pop()
-                if n > left:
-                    open_bins[gap].append((pattern, n - left))
-                    n = left
-                gaps[gap] = bool(open_bins[gap])
-            left -= n
-            if gap > length:
-                open_bins.setdefault(gap - length, []).append(((*pattern, length), n))
-                gaps[gap - length] = True
+            gap = length + int(fits[0]) if len(fits) else size
+            pattern, n = open_bins[gap].pop() if len(fits) else ((), left)
+            copies = min(left, gap // length)  # the smallest gap stays the smallest until it is too small
+            taken = min(n, left // copies)
+            if n > taken and len(fits):
+                open_bins[gap].append((pattern, n - taken))
+            gaps[gap] = bool(open_bins.get(gap))
+            left -= taken * copies
+            pattern, gap = (*pattern, *(length,) * copies), gap - copies * length
+            if gap:
+                open_bins.setdefault(gap, []).append((pattern, taken))
+                gaps[gap] = True
             else:
-                out.append(((*pattern, length), n))
+                out.append((pattern, taken))
     return out + [x for bins in open_bins.values() for x in bins]
 
 
