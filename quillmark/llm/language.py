@@ -97,12 +97,12 @@ def scores(words: list[str], model: dict) -> np.ndarray:
     return out
 
 
-def chains(psi: np.ndarray, index: np.ndarray, counts: np.ndarray, step: np.ndarray, start: np.ndarray):
+def chains(psi: np.ndarray, index: np.ndarray, counts: np.ndarray, step: np.ndarray, start: np.ndarray, words: bool = True):
     """Forward-backward over sequences at once.
 
     psi: potentials of distinct words; index: words of all sequences; counts: words of each.  Returns the posteriors
-    (word by word, in the order of ``index``), expected transitions, expected first labels and the log likelihood's
-    normaliser.
+    (word by word, in the order of ``index``; without ``words``, their sums for each sequence), expected transitions,
+    expected first labels and the log likelihood's normaliser.
     """
     k = psi.shape[1]
     order = np.argsort(-counts, kind="stable")
@@ -110,11 +110,12 @@ def chains(psi: np.ndarray, index: np.ndarray, counts: np.ndarray, step: np.ndar
     longest = int(sizes[0]) if len(sizes) else 0
     active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # sequences longer than t
     base = np.concatenate([[0], np.cumsum(active)])
-    t = np.arange(len(index)) - np.repeat(np.cumsum(counts) - counts, counts)
-    rank = np.empty(len(counts), np.int64)
+    rank = np.empty(len(counts), np.int32)
     rank[order] = np.arange(len(counts))
-    place = base[t] + np.repeat(rank, counts)  # of each word in order of time
-    at = np.empty(len(index), np.int64)
+    t = np.arange(len(index), dtype=np.int32) - np.repeat((np.cumsum(counts) - counts).astype(np.int32), counts)
+    place = base.astype(np.int32)[t] + np.repeat(rank, counts)  # of each word in order of time
+    del t
+    at = np.empty(len(index), np.int32)
     at[place] = index
     alpha, expected, norm = np.empty((len(index), k)), np.zeros((k, k)), 0.0
     last = None
@@ -123,24 +124,31 @@ def chains(psi: np.ndarray, index: np.ndarray, counts: np.ndarray, step: np.ndar
         a = psi[at[lo:hi]] * (start if last is None else last[: hi - lo] @ step)
         total = a.sum(axis=1, keepdims=True)
         a /= total
-        norm += float(np.log(total).sum())
+        if words:
+            norm += float(np.log(total).sum())
         alpha[lo:hi] = last = a
-    post = np.empty((len(index), k))
+    sums = np.zeros((len(counts), k))
     beta = np.ones((0, k))
+    p = np.zeros((len(counts), k))
     for i in range(longest - 1, -1, -1):
         lo, hi = base[i], base[i + 1]
         full = np.ones((hi - lo, k))
         if len(beta):
             nxt = psi[at[base[i + 1] : base[i + 2]]] * beta
             back = nxt @ step.T
-            pair = alpha[lo : lo + len(nxt)]
-            weight = (pair * back).sum(axis=1, keepdims=True)
-            expected += (pair / weight).T @ nxt
+            if words:
+                pair = alpha[lo : lo + len(nxt)]
+                expected += (pair / (pair * back).sum(axis=1, keepdims=True)).T @ nxt
             full[: len(nxt)] = back / back.sum(axis=1, keepdims=True)
         beta = full
         p = alpha[lo:hi] * beta
-        post[lo:hi] = p / p.sum(axis=1, keepdims=True)
-    return post[place], expected * step, post[: len(counts)].sum(axis=0) if longest else np.zeros(k), norm
+        p /= p.sum(axis=1, keepdims=True)
+        if words:  # this step's forward values are not needed again
+            alpha[lo:hi] = p
+        sums[: hi - lo] += p
+    if not words:
+        return sums[rank], expected, p, norm
+    return alpha[place], expected * step, p.sum(axis=0), norm
 
 
 def potentials(s: np.ndarray) -> np.ndarray:
@@ -153,10 +161,7 @@ def posterior_sums(texts: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray
     sums = np.zeros((len(texts), len(model["langs"])))
     if len(index):
         some = counts > 0
-        post = chains(potentials(scores(words, model)), index, counts[some], model["step"], model["start"])[0]
-        own = np.repeat(np.arange(len(counts)), counts)
-        for j in range(sums.shape[1]):
-            sums[:, j] = np.bincount(own, post[:, j], len(counts))
+        sums[some] = chains(potentials(scores(words, model)), index, counts[some], model["step"], model["start"], words=False)[0]
     return sums, counts
 
 
