@@ -37,9 +37,9 @@ def read_blobs(spark: SparkSession, path: str, roots: tuple[str, ...] = (), max_
 
 
 def refused_blobs(spark: SparkSession, path: str, roots: tuple[str, ...] = (), max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Files that are empty or too large, with their failure class; contents are not read."""
-    files = spark.read.format("binaryFile").load(allowed(path, roots)).where((F.col("length") == 0) | (F.col("length") > max_bytes))
-    return files.select(F.sha2("path", 256).alias("document_id"), F.col("path").alias("source_uri"), "length", F.when(F.col("length") == 0, "not_found").otherwise("too_large").alias("failure"))
+    """Files that are too large, with their failure class; contents are not read.  (Spark's scan lists no empty file.)"""
+    files = spark.read.format("binaryFile").load(allowed(path, roots)).where(F.col("length") > max_bytes)
+    return files.select(F.sha2("path", 256).alias("document_id"), F.col("path").alias("source_uri"), "length", F.lit("too_large").alias("failure"))
 
 
 def text_documents(spark: SparkSession, path: str, id_column: str, text_column: str, extension: str) -> DataFrame:

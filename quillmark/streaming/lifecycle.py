@@ -157,7 +157,10 @@ class ControlStore:
         fs, path = self._fs(f"{self.folder}/_CURRENT")
         if not fs.exists(path):
             return {"version": None, "batch": None}
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/_CURRENT").collect()))
+        stream = fs.open(path)
+        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
 
     def read(self) -> tuple[DataFrame, DataFrame]:
         version = self.pointer()["version"]
@@ -174,7 +177,13 @@ class ControlStore:
         stream = fs.create(new, True)
         stream.write(bytearray(json.dumps({"version": version, "batch": batch}).encode()))
         stream.close()
-        _, old = self._fs(f"{self.folder}/_CURRENT")
-        fs.delete(old, False)
-        fs.rename(new, old)
+        self._replace(new, self._fs(f"{self.folder}/_CURRENT")[1])
         return version
+
+    def _replace(self, new, old) -> None:
+        """Rename over the old pointer in one step."""
+        sc = self.spark.sparkContext
+        kind = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = sc._gateway.new_array(kind, 1)
+        over[0] = kind.OVERWRITE
+        sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), sc._jsc.hadoopConfiguration()).rename(new, old, over)
