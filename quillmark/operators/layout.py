@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.plain import one_line, unwrap
 from quillmark.functions.text import clean_inline, strip
+from quillmark.operators.parse import BLOCK
 from quillmark.operators.parsers.outline import Block, Outline
 
 #: Fixed values of the inference.
@@ -166,8 +167,34 @@ def outline(rows: list[dict], tables: list[dict]) -> Outline:
     return out
 
 
-def structure(lines: DataFrame, tables: DataFrame | None = None) -> DataFrame:
-    """Block rows of every document of ``lines``: document_id, ordinal, parent, type, depth, page, raw, confidence.
+def with_ocr(lines: DataFrame, decisions: DataFrame, recognised: DataFrame) -> DataFrame:
+    """Lines with those of recognised pages in their place: a page that is to be read as an image gives its own lines
+    up.  recognised: lines in points, with confidences; a page that recognition gave nothing for keeps what it had."""
+    wanted = decisions.where("decision = 'ocr'").select("document_id", "page")
+    new = recognised.join(wanted, ["document_id", "page"], "left_semi").select(*lines.columns)
+    return lines.join(new.select("document_id", "page").distinct(), ["document_id", "page"], "left_anti").unionByName(new)
+
+
+def page_meta(decisions: DataFrame, recognised: DataFrame) -> DataFrame:
+    """Source and mean confidence of each page: document_id, number, source, confidence."""
+    means = recognised.groupBy("document_id", "page").agg(F.avg("confidence").alias("confidence"), F.lit(True).alias("read"))
+    ocr = (F.col("decision") == "ocr") & F.coalesce("read", F.lit(False))
+    return decisions.join(means, ["document_id", "page"], "left").select("document_id", F.col("page").alias("number"), F.when(ocr, "ocr").otherwise("text_layer").alias("source"), F.when(ocr, F.col("confidence")).alias("confidence"))
+
+
+def page_warnings(decisions: DataFrame, recognised: DataFrame | None = None) -> DataFrame:
+    """document_id, code, page: pages that are blank, that need recognition, were recognised, or gave nothing."""
+    rows = decisions.where("decision <> 'text_layer'")
+    if recognised is None:
+        return rows.select("document_id", F.when(F.col("decision") == "ocr", "page_needs_ocr").otherwise("blank_page").alias("code"), "page")
+    read = recognised.select("document_id", "page", F.lit(True).alias("read")).distinct()
+    code = F.when(F.col("decision") == "blank_page", "blank_page").when(F.col("read"), "page_ocr_applied").otherwise("ocr_found_no_text")
+    return rows.join(read, ["document_id", "page"], "left").select("document_id", code.alias("code"), "page")
+
+
+def documents(lines: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Every document of ``lines`` with its blocks, ready for ``serialise.with_text``: document_id, content_hash (of
+    the id), blocks, title.  Tables: document_id, page, top, bottom, left, right, rows.
 
     One task holds the lines of one document at a time.
     """
@@ -176,17 +203,24 @@ def structure(lines: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     level = F.when(F.length("text") <= MAX_HEADING, heading_level(F.col("size"), F.col("tiers")))
     rows = known.select("document_id", F.struct("page", "seq", "text", "top", "confidence", "paragraph", level.alias("level")).alias("line"))
     grouped = rows.groupBy("document_id").agg(F.collect_list("line").alias("lines"))
+    none = F.array().cast("array<struct<page:int,top:double,rows:array<array<string>>>>")
     if tables is None:
-        grouped = grouped.withColumn("tables", F.array().cast("array<struct<page:int,top:double,rows:array<array<string>>>>"))
+        grouped = grouped.withColumn("tables", none)
     else:
         held = tables.groupBy("document_id").agg(F.collect_list(F.struct("page", "top", "rows")).alias("tables"))
-        grouped = grouped.join(held, "document_id", "left").withColumn("tables", F.coalesce("tables", F.array().cast("array<struct<page:int,top:double,rows:array<array<string>>>>")))
+        grouped = grouped.join(held, "document_id", "left").withColumn("tables", F.coalesce("tables", none))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["document_id", "ordinal", "parent", "type", "depth", "page", "raw", "confidence"]
         for f in frames:
-            found = [{"document_id": d, **r} for d, lines, tabs in zip(f["document_id"], f["lines"], f["tables"], strict=True) for r in outline(list(lines), list(tabs)).rows()]
-            yield pd.DataFrame(found, columns=names)
+            found = [outline(list(ln), list(tb)) for ln, tb in zip(f["lines"], f["tables"], strict=True)]
+            yield pd.DataFrame({"document_id": f["document_id"], "blocks": [o.rows() for o in found], "title": [o.meta["title"] for o in found]})
 
     kind = dict(lines.dtypes)["document_id"]
-    return grouped.mapInPandas(run, f"document_id {kind}, ordinal int, parent int, type string, depth int, page int, raw string, confidence double")
+    parsed = grouped.mapInPandas(run, f"document_id {kind}, blocks array<{BLOCK}>, title string")
+    return parsed.withColumn("content_hash", F.sha2(F.col("document_id").cast("string"), 256))
+
+
+def structure(lines: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Block rows of every document: document_id, ordinal, parent, type, depth, page, raw, confidence."""
+    rows = documents(lines, tables).select("document_id", F.explode("blocks").alias("b"))
+    return rows.select("document_id", *(F.col(f"b.{c}").alias(c) for c in ("ordinal", "parent", "type", "depth", "page", "raw", "confidence")))

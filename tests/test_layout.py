@@ -32,6 +32,28 @@ def test_tables_take_their_lines(spark):
     assert sum(r["type"] == "table" for r in rows) == 1 and not any(r["type"] == "list_item" for r in rows)
 
 
+def test_lines_to_canonical_text(spark):
+    from quillmark.operators.serialise import block_table, page_table, with_text
+
+    df = lines(spark, SPEC)
+    texts = with_text(layout.documents(df))
+    row = texts.first()
+    assert row["title"] == "Platform Specification" and row["text"].startswith("# Platform Specification\n\nIntroductory") and "- Authenticate users\n- Rotate keys" in row["text"]
+    blocks = block_table(texts)
+    assert all(row["text"][b["span_start"] : b["span_end"]] == b["own"] for b in blocks.collect() if not b["type"].startswith("list"))
+    assert [r["number"] for r in page_table(blocks).orderBy("number").collect()] == [1, 2]
+
+
+def test_recognised_pages_replace_their_lines(spark):
+    df = lines(spark, [(1, "x" * 100, 10.0, 1.0), (2, "few", 10.0, 1.0), (3, "few", 10.0, 1.0)])
+    decisions = spark.createDataFrame([("d", 1, "text_layer"), ("d", 2, "ocr"), ("d", 3, "ocr"), ("d", 4, "blank_page")], "document_id string, page int, decision string")
+    read = spark.createDataFrame([("d", 2, 0, "recognised text", 10.0, 1.0, 2.0, 3.0, 1.0, 0.5)], LINES)
+    assert {(r["page"], r["text"][:4]) for r in layout.with_ocr(df, decisions, read).collect()} == {(1, "xxxx"), (2, "reco"), (3, "few")}
+    assert {r["number"]: (r["source"], r["confidence"]) for r in layout.page_meta(decisions, read).collect()} == {1: ("text_layer", None), 2: ("ocr", 0.5), 3: ("text_layer", None), 4: ("text_layer", None)}
+    assert {(r["code"], r["page"]) for r in layout.page_warnings(decisions, read).collect()} == {("page_ocr_applied", 2), ("ocr_found_no_text", 3), ("blank_page", 4)}
+    assert {r["code"] for r in layout.page_warnings(decisions).collect()} == {"page_needs_ocr", "blank_page"}
+
+
 def test_pages_are_recognised_only_if_they_must_be(spark):
     df = lines(spark, [(1, "x" * 100, 10.0, 1.0), (2, "short", 10.0, 1.0)])
     images = spark.createDataFrame([("d", 1, 2), ("d", 2, 1), ("d", 3, 1), ("d", 4, 0)], "document_id string, page int, n_images int")
