@@ -18,8 +18,10 @@ import pyarrow.compute as pc
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Text bytes handled at once, and entries kept between batches.  Both bound a worker's memory only.
 SLICE_BYTES = 6 << 20
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 LONGEST_CACHED = 40
+#: Pieces that are encoded as one text.
+RUN_PIECES = 256
 
 _loaded: dict[str, BulkEncoder] = {}
 
@@ -69,6 +71,12 @@ class BulkEncoder:
         if self.mark is None or any(t["content"] not in specials for t in spec.get("added_tokens", [])):
             self.style = "whole"
         self.cache: dict[str, bytes] = {}
+        # bytes of text that each id stands for, in a byte-level vocabulary (a character for each byte)
+        suffix = spec.get("model", {}).get("end_of_word_suffix") or ""
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.id_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.id_bytes[i] = len(token.removesuffix(suffix) if suffix else token)
 
     @staticmethod
     def _style(spec: dict) -> str:
@@ -85,7 +93,34 @@ class BulkEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _run(self, pieces: list[str]) -> list[bytes] | None:
+        """Ids of every piece from ordinary text that holds them all, cut where the bytes of the ids reach those of the
+        pieces; None if some cut is not met (the normaliser changed a length)."""
+        joiner = " " if self.style == "dropped" else ""
+        found = self.tokenizer.encode_batch_fast([joiner.join(pieces[i : i + RUN_PIECES]) for i in range(0, len(pieces), RUN_PIECES)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in found])
+        if len(ids) and int(ids.max()) >= len(self.id_bytes):
+            return None
+        reached = np.cumsum(self.id_bytes[ids])
+        wanted = np.cumsum(np.fromiter(map(len, map(str.encode, pieces)), np.int64, len(pieces)))
+        cut = np.searchsorted(reached, wanted) + 1
+        if not len(ids) or cut[-1] != len(ids) or not np.array_equal(reached[cut - 1], wanted):
+            return None
+        raw, ends = ids.tobytes(), (cut * 4).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
     def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of every piece: of most in runs of text, of the others apart."""
+        lead = " \n" if self.style == "prefixed" else ""
+        fit = [bool(x) and (not lead or (x[0] in lead and len(x) > 1)) and not any(s in x for s in self.specials) for x in pieces]
+        inner = [x for x, ok in zip(pieces, fit, strict=True) if ok]
+        if not inner or (out := self._run(inner)) is None:
+            return self._apart(pieces)
+        rest = iter(self._apart([x for x, ok in zip(pieces, fit, strict=True) if not ok]))
+        ready = iter(out)
+        return [next(ready) if ok else next(rest) for ok in fit]
+
+    def _apart(self, pieces: list[str]) -> list[bytes]:
         """Ids of every piece, all in one call: a special token between two pieces keeps them apart."""
         odd = [i for i, x in enumerate(pieces) if any(s in x for s in self.specials)]
         plain = pieces if not odd else [x for i, x in enumerate(pieces) if i not in set(odd)]
@@ -103,8 +138,8 @@ class BulkEncoder:
     def _lookup(self, keys: list[str]) -> list[bytes]:
         found = list(map(self.cache.get, keys))
         missing = [i for i, x in enumerate(found) if x is None]
-        for lo in range(0, len(missing), 50_000):
-            part = missing[lo : lo + 50_000]
+        for lo in range(0, len(missing), 20_000):
+            part = missing[lo : lo + 20_000]
             for i, ids in zip(part, self._pieces([keys[i] for i in part]), strict=True):
                 found[i] = ids
                 if len(self.cache) < CACHE_ENTRIES and len(keys[i]) <= LONGEST_CACHED:
