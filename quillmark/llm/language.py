@@ -271,7 +271,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-def drop_unknown(docs: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+def drop_unknown(docs: DataFrame, least: float = 0.35, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of at least ``least``, with all their columns.
 
     Without a model (nothing could be learned) every text with a letter stays.
