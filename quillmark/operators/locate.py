@@ -20,6 +20,8 @@ from quillmark.operators.lookup import block_at, page_at
 
 #: Shortest quote, similarity that a near miss needs, candidates that are aligned.
 MIN_CHARS, SNAP, CANDIDATES = 8, 0.90, 40
+#: Quotes that are broadcast in a search of all texts; more of them meet the texts by shuffle.
+FEW_QUOTES = 20_000
 ABSENT = "does not appear in the document, exactly or approximately"
 
 
@@ -161,8 +163,12 @@ def locate_corpus(quotes: DataFrame, texts: DataFrame) -> DataFrame:
     asked = asked.select("quote_id", "needle", longest.alias("word"))
     ready = folded(texts).select("document_id", "folded")
     by_word = asked.where("word IS NOT NULL")
-    words = ready.select("document_id", "folded", F.explode(F.array_distinct(F.split("folded", " "))).alias("word"))
-    met = words.join(by_word, "word").select("quote_id", "document_id", "needle", "folded")
+    each = F.explode(F.array_distinct(F.split("folded", " "))).alias("word")
+    if by_word.limit(FEW_QUOTES + 1).count() <= FEW_QUOTES:  # few enough to send to the texts
+        met = ready.select("document_id", "folded", each).join(F.broadcast(by_word), "word").select("quote_id", "document_id", "needle", "folded")
+    else:  # words and quotes meet without the texts, which are then fetched for the pairs alone
+        pairs = ready.select("document_id", each).join(by_word, "word").select("quote_id", "document_id", "needle")
+        met = pairs.join(ready, "document_id").select("quote_id", "document_id", "needle", "folded")
     brief = asked.where("word IS NULL")
     if not brief.isEmpty():
         grams = F.expr(f"array_distinct(transform(sequence(1, greatest(length(folded) - {MIN_CHARS - 1}, 1)), i -> substring(folded, i, {MIN_CHARS})))")

@@ -22,8 +22,12 @@ FIELDS = [x.partition(":")[0] for x in "format title author subject keywords lan
 MAX_BYTES = 100 * 1024 * 1024
 
 
+def blank(document_id: str, content_hash: str, media_type: str) -> dict:
+    return {"document_id": document_id, "content_hash": content_hash, "media_type": media_type, "parser": None, "blocks": None, "metadata": None, "page_meta": None, "warnings": [], "failure": None, "reason": None}
+
+
 def parse_one(document_id: str, content_hash: str, media_type: str, content: bytes, known: dict) -> dict:
-    row = {"document_id": document_id, "content_hash": content_hash, "media_type": media_type, "parser": None, "blocks": None, "metadata": None, "page_meta": None, "warnings": [], "failure": None, "reason": None}
+    row = blank(document_id, content_hash, media_type)
     try:
         name, out = parsers.parse(content, media_type, known)
     except ParseFailure as e:
@@ -46,23 +50,41 @@ def sized(raw: DataFrame) -> DataFrame:
     return raw.withColumn("content_hash", F.sha2("content", 256)).withColumn("size_failure", failure)
 
 
-def parse(raw: DataFrame, ocr: Reader | None = None) -> DataFrame:
-    """Parsed documents of raw_docs (document_id, filename, declared_media_type, content).
-
-    Equal contents of a type are parsed once: rows are parsed by (content_hash, media_type) and joined back.
-    """
-    found = sized(raw).withColumn("media_type", detect(F.col("content"), F.col("filename")))
+def _rows(found: DataFrame, ocr: Reader | None) -> DataFrame:
+    """Each row of (document_id, content_hash, media_type, size_failure, content) parsed where it stands."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = parsers.registry(ocr)
         for f in frames:
-            yield pd.DataFrame([parse_one(h, h, m, bytes(c), known) for h, m, c in zip(f["content_hash"], f["media_type"], f["content"], strict=True)], columns=[x.split()[0] for x in PARSED.split(", ")])
+            out = []
+            for d, h, m, bad, c in zip(f["document_id"], f["content_hash"], f["media_type"], f["size_failure"], f["content"], strict=True):
+                out.append(parse_one(d, h, m, bytes(c), known) if bad is None else blank(d, h, m) | {"failure": bad, "reason": bad})
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in PARSED.split(", ")])
 
-    once = found.where(F.col("size_failure").isNull()).groupBy("content_hash", "media_type").agg(F.first("content").alias("content"))
-    done = once.mapInPandas(run, PARSED).drop("document_id")
-    declared = F.col("declared_media_type") if "declared_media_type" in raw.columns else F.lit(None).cast("string")
-    keys = found.select("document_id", "content_hash", "media_type", "size_failure", declared.alias("declared"))
-    joined = keys.join(done, ["content_hash", "media_type"], "left")
+    content = F.when(F.col("size_failure").isNull(), F.col("content"))
+    return found.select("document_id", "content_hash", "media_type", "size_failure", content.alias("content")).mapInPandas(run, PARSED)
+
+
+def parse(raw: DataFrame, ocr: Reader | None = None, once: bool = False) -> DataFrame:
+    """Parsed documents of raw_docs (document_id, filename, declared_media_type, content).
+
+    Rows are parsed where they stand, without a shuffle; parsing is deterministic, so equal contents give equal results.
+    once: equal contents of a type are parsed once and joined back, which pays where parsing costs more than moving
+    the bytes (images).
+    """
+    declared = F.col("declared_media_type").cast("string") if "declared_media_type" in raw.columns else F.lit(None).cast("string")
+    found = sized(raw).withColumn("media_type", detect(F.col("content"), F.col("filename")))
+    none = F.array().cast(f"array<{WARNING}>")
+    if once:
+        keys = found.select("document_id", "content_hash", "media_type", "size_failure", declared.alias("declared"))
+        distinct = found.where("size_failure IS NULL").groupBy("content_hash", "media_type").agg(F.first("content").alias("content"))
+        done = _rows(distinct.select(F.col("content_hash").alias("document_id"), "content_hash", "media_type", F.lit(None).cast("string").alias("size_failure"), "content"), ocr)
+        joined = keys.join(done.drop("document_id"), ["content_hash", "media_type"], "left")
+        joined = joined.withColumn("failure", F.coalesce("size_failure", "failure")).withColumn("reason", F.coalesce("reason", "size_failure"))
+    else:  # the declared type rides along with the id
+        tagged = found.withColumn("document_id", F.to_json(F.struct(F.col("document_id").cast("string").alias("d"), declared.alias("m"))))
+        tag = F.from_json("document_id", "d string, m string")
+        joined = _rows(tagged, ocr).withColumn("tag", tag).withColumn("document_id", F.col("tag.d")).withColumn("declared", F.col("tag.m"))
     warned = mismatch_warning(F.col("declared"), F.col("media_type"))
-    all_warnings = F.concat(F.when(warned.isNotNull(), F.array(warned)).otherwise(F.array().cast(f"array<{WARNING}>")), F.coalesce("warnings", F.array().cast(f"array<{WARNING}>")))
-    return joined.select("document_id", "content_hash", "media_type", "parser", "blocks", "metadata", "page_meta", all_warnings.alias("warnings"), F.coalesce("size_failure", "failure").alias("failure"), F.coalesce("reason", F.col("size_failure")).alias("reason"))
+    warnings = F.concat(F.when(warned.isNotNull(), F.array(warned)).otherwise(none), F.coalesce("warnings", none))
+    return joined.select("document_id", "content_hash", "media_type", "parser", "blocks", "metadata", "page_meta", warnings.alias("warnings"), "failure", "reason")

@@ -1,13 +1,16 @@
 """Blocks to canonical text and exact spans, in column expressions.
 
 A block's own text and the separator before it follow from the block and its parent; the text of a document is their
-concatenation, and spans are running sums of lengths in code points.
+concatenation, and spans are running sums of lengths in code points, taken within the document's row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quillmark.functions.text import ANY_SPACE, block_id, render_table
 
@@ -52,22 +55,37 @@ def with_text(parsed: DataFrame) -> DataFrame:
     return df.withColumn("text", F.array_join(F.transform("blocks", lambda b: F.concat(b["sep"], b["own"])), ""))
 
 
+@F.pandas_udf(StructType([StructField(x, ArrayType(IntegerType())) for x in ("start", "end", "own_end")]))
+def _spans(sep: pd.Series, own: pd.Series, last: pd.Series) -> pd.DataFrame:
+    """Spans of each document's blocks from the lengths of their separators and own texts.
+
+    last: the last descendant whose end a block's span covers (itself, unless it is a container); document order gives
+    that one the greatest end of the subtree.
+    """
+    out = []
+    for s, o, j in zip(sep, own, last, strict=True):
+        s, o = np.asarray(s, np.int64), np.asarray(o, np.int64)
+        ends = np.cumsum(s + o)
+        out.append(((ends - o).tolist(), ends[np.asarray(j, np.int64)].tolist() if len(ends) else [], ends.tolist()))
+    return pd.DataFrame(out, columns=["start", "end", "own_end"])
+
+
 def block_table(texts: DataFrame, ids: bool = True) -> DataFrame:
     """One row for each block: its span in the text (a list or item covers its descendants) and its own text.
 
-    Rows of a document meet in one window; the end of a container is looked up at its last descendant's place.
+    Spans are found within the document's row, from lengths alone, so no text is shuffled.
     """
-    rows = texts.select("document_id", "content_hash", F.explode("blocks").alias("b")).select("document_id", "content_hash", "b.*")
-    w = Window.partitionBy("document_id").orderBy("ordinal")
-    so_far = F.sum(F.length("sep") + F.length("own")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    spans = rows.withColumn("own_end", so_far.cast("int")).withColumn("span_start", (F.col("own_end") - F.length("own")).cast("int"))
-    # a container ends where its last descendant does: document order gives that one the greatest end of the subtree
-    ends = spans.select("document_id", F.col("ordinal").alias("last"), F.col("own_end").alias("last_end"))
-    spans = spans.join(ends, ["document_id", "last"]).withColumn("span_end", F.when(F.col("type").isin(*LISTS), F.col("last_end")).otherwise(F.col("own_end"))).drop("last_end")
-    spans = spans.withColumn("table", F.when(F.col("rows").isNotNull(), F.struct("rows", "header_rows"))).withColumn("attrs", F.struct("ordered", "number", "lang"))
+    of = lambda f: F.transform("blocks", f)
+    cover = lambda b: F.when(b["type"].isin(*LISTS), b["last"]).otherwise(b["ordinal"])
+    # (asNondeterministic: the optimizer must not move the call across the explode)
+    spans = _spans.asNondeterministic()(of(lambda b: F.length(b["sep"])), of(lambda b: F.length(b["own"])), of(cover))
+    rows = texts.select("document_id", "content_hash", "blocks", spans.alias("spans")).select("document_id", "content_hash", "spans", F.posexplode("blocks").alias("at", "b"))
+    at = lambda name: F.get(F.col(f"spans.{name}"), F.col("at"))
+    rows = rows.select("document_id", "content_hash", "b.*", at("start").alias("span_start"), at("end").alias("span_end"), at("own_end").alias("own_end"))
+    rows = rows.withColumn("table", F.when(F.col("rows").isNotNull(), F.struct("rows", "header_rows"))).withColumn("attrs", F.struct("ordered", "number", "lang"))
     if ids:
-        spans = spans.withColumn("id", block_id("content_hash", "ordinal")).withColumn("parent_id", F.when(F.col("parent").isNotNull(), block_id("content_hash", F.coalesce("parent", F.lit(0)))))
-    return spans.drop("rows", "header_rows", "ordered", "number", "lang", "sep", "first")
+        rows = rows.withColumn("id", block_id("content_hash", "ordinal")).withColumn("parent_id", F.when(F.col("parent").isNotNull(), block_id("content_hash", F.coalesce("parent", F.lit(0)))))
+    return rows.drop("rows", "header_rows", "ordered", "number", "lang", "sep", "first")
 
 
 def page_table(blocks: DataFrame, page_meta: DataFrame | None = None) -> DataFrame:

@@ -1,3 +1,5 @@
+import pytest
+
 from quillmark.operators import locate, lookup
 from quillmark.plans.documents import build
 from tests.test_parsers import RICH, raw
@@ -32,7 +34,9 @@ def test_a_quote_of_a_parent_item_snaps_to_its_own_line(spark):
     assert near["match"] == "snapped" and near["text"] == "Every request must carry a signed token"
 
 
-def test_corpus_search_agrees_with_a_scan(spark):
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_corpus_search_agrees_with_a_scan(spark, monkeypatch, few):
+    monkeypatch.setattr(locate, "FEW_QUOTES", few)
     texts = ["the quick brown fox jumps over it", "a quick brown fox", "xxquick brown foxes", "brown fox jumps", "quick  BROWN fox", ""]
     quotes = ["quick brown fox", "brown fox", "fox jumps", "quick brown fox jumps over", "short", "absent from here"]
     docs = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")

@@ -211,6 +211,17 @@ def test_spans_hold_on_every_kind_of_document(spark):
     assert texts["0"].startswith("# Platform\n\nIntro paragraph.\n\n## Security\n\n- Authenticate users within 300ms\n  - Log failures\n- Rotate")
 
 
+def test_parsing_once_gives_the_same(spark):
+    docs = raw(spark, ("a.md", RICH.encode()), ("b.md", RICH.encode()), ("c.json", b"{}"), ("d.txt", b""))
+    one, each = (sorted(parse(docs, once=x).collect(), key=lambda r: r["document_id"]) for x in (True, False))
+    assert one == each
+
+
+def test_parsing_and_spans_need_no_shuffle(spark):
+    plan = build(raw(spark, ("a.md", RICH.encode()))).blocks._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
 def test_equal_bytes_give_equal_artifacts_and_are_parsed_once(spark):
     result = build(raw(spark, ("a.md", RICH.encode()), ("b.md", RICH.encode())))
     a, b = sorted(result.artifacts.drop("document_id").collect(), key=str)
