@@ -17,6 +17,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from quillmark.functions import plain
 from quillmark.functions.text import fold, occurrences, strip, tokens
 from quillmark.operators.lookup import block_at, page_at
+from quillmark.plans.store import kept
 
 #: Shortest quote, similarity that a near miss needs, candidates that are aligned.
 MIN_CHARS, SNAP, CANDIDATES = 8, 0.90, 40
@@ -113,7 +114,9 @@ def snap(quotes: DataFrame, texts: DataFrame, own: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["document_id", "quote_idx", "ordinal", "similarity", "span_start", "span_end"])
 
     kinds = dict(quotes.dtypes)
-    scored = chosen.mapInPandas(run, f"document_id {kinds['document_id']}, quote_idx {kinds['quote_idx']}, ordinal int, similarity double, span_start int, span_end int")
+    # alignment costs far more than its bytes tell, so the pairs are dealt out and not coalesced
+    dealt = chosen.repartition(int(quotes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "document_id", "quote_idx", "ordinal")
+    scored = dealt.mapInPandas(run, f"document_id {kinds['document_id']}, quote_idx {kinds['quote_idx']}, ordinal int, similarity double, span_start int, span_end int")
     best = F.max_by(F.struct("span_start", "span_end", "similarity"), F.struct("similarity", (-F.col("ordinal")).alias("early"))).alias("best")
     return scored.groupBy("document_id", "quote_idx").agg(best).select("document_id", "quote_idx", "best.*")
 
@@ -122,14 +125,15 @@ def locate(quotes: DataFrame, texts: DataFrame, blocks: DataFrame, pages: DataFr
     """Every quote with its match ('exact', 'snapped' or 'none'), span, source text, page, block and confidence.
 
     quotes: document_id, quote_idx, quote; texts: document_id, text; blocks: of ``block_table``; pages: of
-    ``page_table``.  A quote of an unknown document is not found.
+    ``page_table``; all are read several times, so they should be stored tables.  A quote of an unknown document is not
+    found.
     """
     asked = gate(quotes)
     open_ = asked.where("reason IS NULL")
     ready = folded(texts)
-    hits = exact(open_, ready).withColumn("match", F.lit("exact")).withColumn("similarity", F.lit(1.0))
+    hits = kept(exact(open_, ready), "exact-quotes").withColumn("match", F.lit("exact")).withColumn("similarity", F.lit(1.0))
     missed = open_.join(hits.select("document_id", "quote_idx"), ["document_id", "quote_idx"], "left_anti")
-    near = snap(missed, texts, blocks).withColumn("match", F.lit("snapped")).withColumn("occurrences", F.lit(1).cast("long"))
+    near = kept(snap(missed, texts, blocks), "near-quotes").withColumn("match", F.lit("snapped")).withColumn("occurrences", F.lit(1).cast("long"))
     found = hits.unionByName(near)
     at = found.select("document_id", "quote_idx", F.col("span_start").alias("offset"))
     placed = block_at(at, blocks).join(page_at(at, pages), ["document_id", "quote_idx", "offset"]).drop("offset")

@@ -11,6 +11,7 @@ from quillmark.functions import text as T
 from quillmark.operators import detect, layout, locate, lookup, serialise, serving
 from quillmark.operators.parse import parse
 from quillmark.plans import documents as plans
+from quillmark.plans.store import kept
 from quillmark.sources import files, jobs, refs
 from quillmark.streaming import lifecycle as life
 
@@ -323,7 +324,8 @@ def locate_candidates(spark, sf_dir):
 @query()
 def locate_quotes(spark, sf_dir):
     quotes, texts = _turn_quotes(spark, sf_dir)
-    blocks = serialise.block_table(texts)
+    texts = kept(texts, "transcripts")
+    blocks = kept(serialise.block_table(texts), "turns")
     return locate.locate(quotes, texts.select("document_id", "text"), blocks, serialise.page_table(blocks))
 
 
