@@ -21,8 +21,12 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+_SPACE_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{ANY_SPACE}+|{ANY_SPACE}+$", "")
+    """Without the white space at both ends, all of it, not only blanks."""
+    return F.trim(c, F.lit(_SPACE_CHARS))
 
 
 def nfkc(c: Column) -> Column:
@@ -49,7 +53,8 @@ def clean_inline(c: Column, compose: bool = True) -> Column:
 
 def join_wrapped(c: Column) -> Column:
     """Lines of a paragraph become one; a word that a hyphen breaks over a line end is joined."""
-    c = F.regexp_replace(c, f"(?U)(\\w)[-\u2010\u2011]{ANY_SPACE}*\n{ANY_SPACE}*(\\w)", "$1$2")
+    broken = F.regexp_like(c, F.lit(f"[-\u2010\u2011]{ANY_SPACE}*\n"))  # most texts have none, and the full pattern is slow
+    c = F.when(~broken, c).otherwise(F.regexp_replace(c, f"(?U)(\\w)[-\u2010\u2011]{ANY_SPACE}*\n{ANY_SPACE}*(\\w)", "$1$2"))
     return strip(F.regexp_replace(F.translate(c, "\n", " "), f"{_SPACE_CLASS}+", " "))
 
 
@@ -57,15 +62,15 @@ def fold(c: Column) -> Column:
     """Text for comparison: quotes and dashes straightened, white space collapsed, lower case where the length stays."""
     marks = plain.SINGLE_QUOTES + plain.DOUBLE_QUOTES + plain.DASHES
     plain_marks = "'" * len(plain.SINGLE_QUOTES) + '"' * len(plain.DOUBLE_QUOTES) + "-" * len(plain.DASHES)
-    c = F.regexp_replace(F.translate(c, marks, plain_marks), f"{ANY_SPACE}+", " ")
-    # U+0130 is the one letter that lower() lengthens, and a capital sigma must not depend on its neighbours
-    parts = F.transform(F.split(c, "\u0130", -1), lambda x: F.lower(F.translate(x, "\u03a3", "\u03c3")))
-    return F.array_join(parts, "\u0130")
+    # one pass for all single characters: a capital sigma goes too, as its lower case must not depend on its neighbours
+    c = F.regexp_replace(F.translate(c, marks + "\u03a3", plain_marks + "\u03c3"), f"{ANY_SPACE}+", " ")
+    # U+0130 is the one letter that lower() lengthens
+    return F.when(~F.contains(c, F.lit("\u0130")), F.lower(c)).otherwise(F.array_join(F.transform(F.split(c, "\u0130", -1), F.lower), "\u0130"))
 
 
 def word_count(c: Column) -> Column:
     """Words between white space, as a long."""
-    return F.size(F.filter(F.split(c, f"{ANY_SPACE}+"), lambda x: x != "")).cast("long")
+    return F.regexp_count(c, F.lit(f"[^{ANY_SPACE[1:]}+")).cast("long")
 
 
 def tokens(folded: Column) -> Column:
