@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.llm import shingles
 from quillmark.llm.common import join_groups, numbered_partitions, table, written
 from quillmark.llm.components import components
 
@@ -237,12 +238,13 @@ def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component the row with the smallest doc_id.
+    """The rows of ``docs`` that stay, with all their columns: of each component of texts with similar shingles the row with the smallest doc_id.
 
     Of rows that share that doc_id one stays, and one of those without a doc_id if a component has no other.  The
     texts take part in one shuffle, on the doc_id, at every size.
     """
-    found = simhash_components(docs)
+    rows = shingles.similar_components(docs)
+    found = rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
     key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("keep_key")  # noqa: E731  # equality holds for null ids too
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id"))).distinct()
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", key(F.col("row.doc_id").cast("long")))
