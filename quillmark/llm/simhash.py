@@ -238,18 +238,22 @@ def simhash_components(docs: DataFrame, size: int = 3) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component of texts with similar shingles the row with the smallest doc_id.
+    """The rows of ``docs`` that stay, with all their columns: one for each component of texts with similar shingles.
 
-    Of rows that share that doc_id one stays, and one of those without a doc_id if a component has no other.  The
-    texts take part in one shuffle, on the doc_id, at every size.
+    It is the row with the smallest doc_id, one without a doc_id only if the component has no other; of several the
+    one of the smallest text.  Rows are told apart by their words and doc_id, both taken from the row where it stands, so
+    rows that share a doc_id, or have none, are never mixed up with those of another component.  The texts take part in
+    one shuffle, on words and doc_id, at every size.
     """
-    rows = shingles.similar_components(docs)
-    found = rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root")
-    key = lambda c: F.coalesce(c.cast("string"), F.lit("")).alias("keep_key")  # noqa: E731  # equality holds for null ids too
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id"))).distinct()
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", key(F.col("row.doc_id").cast("long")))
+    words = F.arrow_udf(lambda texts: pa.array([shingles.node_of(shingles.words_of(x.as_py() or b"")) for x in texts.cast(pa.large_binary())], pa.binary()), "binary")
+    key = lambda node, c: F.concat_ws("/", F.hex(node), c.cast("string")).alias("keep_key")  # noqa: E731  # a null id adds nothing
+    found = shingles.similar_components(docs)
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("least"))
+    keep = least.select(key(F.col("least.node"), F.col("least.doc_id")))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("text", F.col("row.text").cast("string"))
+    row = row.select("row", "text", key(words("text"), F.col("row.doc_id").cast("long")))
     kept = row.join(written(keep, "keepers").hint("merge"), "keep_key", "left_semi")
-    return kept.groupBy("keep_key").agg(F.first("row").alias("row")).select("row.*")
+    return kept.groupBy("keep_key").agg(F.min_by("row", F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

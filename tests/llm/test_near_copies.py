@@ -65,3 +65,18 @@ def test_recall_of_the_bands_at_the_least_similarity():
         assert shingles.similar(np.sort(a), np.sort(b)) and not shingles.similar(np.sort(a[1:]), np.sort(b))
         missed += not (shingles.band_keys(a) == shingles.band_keys(b)).any()
     assert missed <= 3
+
+
+def test_rows_without_an_id_and_an_id_of_two_texts(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(120)) for c in "abcdefg"]
+    near = lambda t: t + " tail"
+    rows = [(None, texts[0]), (None, texts[1]), (None, near(texts[1])), (None, texts[2]), (7, near(texts[2])), (5, texts[3]), (5, texts[4]), (9, near(texts[4])), (5, texts[4].upper()), (8, texts[5]), (8, texts[5])]
+    want = [(None, texts[0]), (7, near(texts[2])), (5, texts[3]), (5, texts[4].upper()), (8, texts[5])]
+    for parts in (1, 4):
+        df = clashing(documents(spark, rows).repartition(parts))
+        kept = simhash.drop_near_copies(df)
+        assert kept.columns == df.columns
+        got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+        assert sum(x in ((None, texts[1]), (None, near(texts[1]))) for x in got) == 1
+        assert sorted((x for x in got if x[0] is not None or x[1] == texts[0]), key=str) == sorted(want, key=str)
+        assert len(got) == len(want) + 1
