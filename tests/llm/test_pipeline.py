@@ -6,7 +6,8 @@ import pytest
 import corpus_pipeline
 from quillmark.llm import language, quality
 from quillmark.llm.common import table, written
-from tests.llm.test_dedup import brute_print, normal
+from tests.llm.test_dedup import normal
+from tests.llm.test_near_copies import brute
 from tests.llm.test_tokens import check_packing
 
 
@@ -57,14 +58,9 @@ def test_every_stage_against_brute_force(spark, folder):
     assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == sorted(last.values())
 
     apart = written(stages["near_dedup"](spark, one, folder), "test")
-    rows = sorted((r["doc_id"], brute_print(r["text"])) for r in one.collect())
-    group = {}
-    for i, fp in rows:
-        near = {group[j] for j, other in rows if j in group and (fp ^ other).bit_count() <= 3}
-        group[i] = min(near, default=i)
-        for j in [j for j, g in group.items() if g in near]:
-            group[j] = group[i]
-    assert apart.columns == docs.columns and sorted(r["doc_id"] for r in apart.collect()) == sorted(i for i, g in group.items() if i == g)
+    rows = sorted((r["doc_id"], r["text"]) for r in one.collect())
+    roots = brute([text for _, text in rows])
+    assert apart.columns == docs.columns and sorted(r["doc_id"] for r in apart.collect()) == sorted(i for at, (i, _) in enumerate(rows) if roots[at] == at)
 
     packed = stages["pack"](spark, apart, folder).collect()
     n, least = check_packing(packed, [(r["doc_id"], r["text"]) for r in apart.collect()], 1024)
