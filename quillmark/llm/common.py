@@ -37,7 +37,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``written`` put in the shared folder, once no result needs it any more."""
+    for df in tables:
+        remove(df.sparkSession, df.written_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
