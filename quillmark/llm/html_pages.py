@@ -1,11 +1,15 @@
 """Labelled pages that the content model is trained on: page layouts of many kinds, written by rule.
 
 Every element that holds part of the article has the attribute ``data-y="1"``; the model's features never see it.
+
+On a part of the pages the names in class and id mean something, on others they are made up, missing, or misleading (an
+article of class ``sports-form``): ``renamed`` replaces them, so labels don't follow from names alone.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 SYLLABLES = "ka lo mi ten dor vas el un per rin sta gor ne phi qua bel".split()
 
@@ -73,8 +77,29 @@ def comments(r: random.Random) -> str:
     return r.choice([f'<section id="comments"><h2>{words(r, 1, 3)}</h2>{body}</section>', f'<div class="{r.choice(["comments", "comment-list", "discussion", "replies"])}">{body}</div>'])
 
 
-def page(seed: int) -> str:
+#: Names that sites give to elements of any kind, whatever their parts say.
+ANY = "wrapper inner box row col block unit region layer panel grid zone card side nav form alert header footer menu sports page fixed open top post text note list item left right".split()
+NAMED = re.compile(r' (class|id)="([^"]*)"')
+
+
+def renamed(r: random.Random, source: str, kind: str) -> str:
+    """The page with other names: invented or none in place of its own, or made up ones on the article beside its own."""
+    if kind == "none":
+        return NAMED.sub("", source)
+    made = lambda: "-".join(r.choice([words(r, 1, 1), r.choice(ANY)]) for _ in range(r.randint(1, 3))).replace(" ", "")
+    if kind == "invented":
+        known: dict[str, str] = {}
+        source = NAMED.sub(lambda m: f' {m[1]}="{known.setdefault(m[2], words(r, 1, 1))}"', source)
+    if kind != "own":
+        source = re.sub(r"<(article|main|div|section|p)( data-y)", lambda m: f'<{m[1]} class="{made()}"{m[2]}' if r.random() < 0.5 else m[0], source)
+        source = re.sub(r"<body>", lambda m: f'<body class="{made()}">' if r.random() < 0.5 else m[0], source)
+    return source
+
+
+def page(seed: int, names: str | None = None) -> str:
+    """A page; names: own, mixed, invented or none (by the seed if not given)."""
     r = random.Random(seed)
+    names = names or r.choice(["own", "own", "mixed", "mixed", "mixed", "invented", "none"])
     y = ' data-y="1"'
     top = r.choice(
         [
@@ -114,4 +139,5 @@ def page(seed: int) -> str:
         parts[1], parts[-2] = side, beside
     inner = "".join(parts)
     wrap = r.choice(["{}", "{}", '<div class="wrapper">{}</div>', '<div id="page"><div class="container">{}</div></div>', "<div>{}</div>"])
+    inner = renamed(r, inner, names)
     return f"<!DOCTYPE html><html><head><title>{words(r, 2, 6)}</title><style>p{{}}</style><script>var a='</p>';</script></head><body>{wrap.format(inner)}</body></html>"
