@@ -11,7 +11,8 @@ reports only what reaches it, so few rows travel.  Reported products are taken i
 
 Nulls: vectors that are null, zero, hold a null or non-finite component or have another number of dimensions than the
 sample's most common one take no part, nor do rows without an id.  Ties go to the smaller id.  A repeated id counts
-once, with its best product; no query is its own neighbour.  Visits go on until the leaves hold
+once, with its best product, and once among the k that a floor stands for; of its equal rows a batch passes on one, so a
+row that is repeated however often is no load.  No query is its own neighbour.  Visits go on until the leaves hold
 more than k vectors of the sample, so only a table of fewer than k candidates gives fewer, and then all of them.
 An empty table gives an empty result.  Other columns are not read.
 """
@@ -158,7 +159,8 @@ def usable(rows: DataFrame) -> DataFrame:
 
 
 def build(vectors: DataFrame, k: int, sample: int = SAMPLE) -> Index | None:
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
+    ids = F.broadcast(vectors.select("vec_id").distinct().orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample))  # the bound is ``sample``
+    rows = vectors.join(ids, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("vector").alias("vector")).orderBy(F.xxhash64("vec_id"), "vec_id").toPandas()
     if not len(rows):
         return None
     dims = Counter(map(len, rows["vector"])).most_common()
@@ -167,6 +169,14 @@ def build(vectors: DataFrame, k: int, sample: int = SAMPLE) -> Index | None:
     return Index(rows["vec_id"].to_numpy(np.int64), np.stack(rows["vector"].to_numpy()), k)
 
 
+def distinct_rows(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Positions of one row for each (id, vector), in ascending order."""
+    firsts = np.unique(ids, return_index=True)[1]
+    if len(firsts) == len(ids):
+        return np.arange(len(ids))
+    return np.sort(np.unique(np.concatenate([ids[:, None].astype(np.int64), x.view(np.int64)], axis=1), axis=0, return_index=True)[1])
+
+
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
@@ -188,6 +198,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
 
     def assign(batches):
         for b in batches:
+            own = distinct_rows(b.column(0).to_numpy(), np.ascontiguousarray(_matrix(b.column(1), dims)))
+            b = b if len(own) == b.num_rows else b.take(pa.array(own))
             x = _matrix(b.column(1), dims)
             yield pa.RecordBatch.from_arrays([pa.array(shared.value.tree.assign(x), pa.int32()), b.column(0), pa.array(np.zeros(len(x))), b.column(1)], names=NAMES)
 
@@ -205,7 +217,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, sample: int = SA
     kind = "leaf int, id long, floor double, vector array<double>"
     sized = F.size("vector") == dims
     placed = written(rows.where(sized).mapInArrow(assign, kind), "leaves")
-    asked = usable(queries).where(sized).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    asked = usable(queries).where(sized).groupBy("vec_id").agg(F.min("vector").alias("vector")).repartition(numbered_partitions(spark))
     probes = written(asked.mapInArrow(probe, kind), "probes")
     # a row for each leaf; the tree has at most a few thousand leaves, set by the sample
     held = {r["leaf"]: -(-r["n"] // PART) for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -241,7 +253,10 @@ def _compare(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator[p
                 held.append((ids[lo:hi], x[lo:hi]))
                 continue
             if ready is None and held:
-                ready = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                every, vectors = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                own = distinct_rows(every, vectors)
+                ready = every[own], vectors[own]
+                firsts = np.unique(ready[0], return_index=True)[1]  # one row for each id
                 held = []
             if ready is None:
                 continue
@@ -251,8 +266,8 @@ def _compare(batches: Iterator[pa.RecordBatch], dims: int, k: int) -> Iterator[p
                 slack = 1e-9 * (1 + np.abs(s).max())
                 s[ids[at:to, None] == ready[0][None]] = -np.inf
                 low = floors[at:to]
-                if len(ready[0]) > k:
-                    low = np.maximum(low, np.partition(s, -k, axis=1)[:, -k])
+                if len(firsts) > k:
+                    low = np.maximum(low, np.partition(s[:, firsts] if len(firsts) < len(ready[0]) else s, -k, axis=1)[:, -k])
                 i, j = np.nonzero((s >= (low - slack)[:, None]) & (s > -np.inf))
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at + i]), pa.array(ready[0][j]), pa.array(products(x[at + i], ready[1][j]))], names=["query_id", "vec_id", "score"])

@@ -141,3 +141,17 @@ def test_vectors_of_odd_rows(spark):
     assert got == [(1, 1, 2, 1.0), (1, 2, 3, 0.0), (2, 1, 1, 1.0), (2, 2, 3, 0.0), (3, 1, 1, 0.0), (3, 2, 2, 0.0)]
     assert nearest.search(df.where("false"), df, k=3).count() == 0
     assert nearest.search(df, df.where("false"), k=3).count() == 0
+
+
+@pytest.mark.parametrize("part", [8192, 16])
+def test_repeated_rows_and_ids_cost_no_neighbour(spark, monkeypatch, part):
+    monkeypatch.setattr(nearest, "PART", part)
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (60, 6))
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(25)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert recall(nearest.search(df, df, k=20).collect(), np.arange(60), x, range(60), 20) == 1.0
+    # an id of several vectors counts once, with its best product; ties go to the smaller id
+    twice = spark.createDataFrame([(1, [1.0]), (2, [5.0]), (2, [3.0]), (2, [5.0]), (4, [2.0]), (3, [2.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in nearest.search(twice, twice.where("vec_id = 1"), k=2).collect())
+    assert got == [(1, 1, 2, 5.0), (1, 2, 3, 2.0)]
