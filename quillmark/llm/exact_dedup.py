@@ -3,6 +3,8 @@
 Digests are combined within each batch before they are dealt out, so a digest that a third of all rows share reaches
 its shard as one row for each batch.  A shard keeps a ``CuckooIndex``: the filter answers first, a hit is verified
 against the keys stored for its bucket, and an overflow rebuilds the filter at twice the size from the stored keys.
+A shard's rows come in the order of SLOTS slots of the digest; when a slot is through, its digests are reported and
+deleted from the index, so the index holds one slot of one shard at a time, however large the table is.
 
 Nulls: a null text counts as empty.  A null doc_id is smaller than any other; keep_id is null only if all ids of the
 group are.  Rows that repeat a doc_id with the same text count each in group_size and have the same answer.  An empty
@@ -22,6 +24,10 @@ from pyspark.sql import functions as F
 from quillmark.llm.common import join_groups, numbered_partitions, table, written
 
 
+#: Slots of a shard's digests, by their last bytes.
+SLOTS = 4096
+
+
 class CuckooIndex:
     """Keys (digests of at least 16 bytes) with a value each; insert, find and delete by way of a cuckoo filter."""
 
@@ -58,9 +64,9 @@ class CuckooIndex:
 
     def put(self, key: bytes, value) -> None:
         """Insert a key, or give a live one a new value."""
-        home = self._places(key)[1]
+        mark, home, other = self._places(key)
         own = self.content[home]
-        if own is not None and key in own:
+        if (mark in self.prints[home] or mark in self.prints[other]) and own is not None and key in own:
             own[key] = value
             return
         if own is None:
@@ -141,25 +147,46 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    index = CuckooIndex()
+    """One row for each digest of sorted (slot, digest, keep_id, group_size) rows."""
+    index, slot, live, done = CuckooIndex(), None, [], []
+
+    def close() -> None:
+        for key in live:
+            done.append((key, *index.find(key)))
+            index.delete(key)
+        live.clear()
+
+    def out() -> pa.RecordBatch:
+        keys, best, sizes = zip(*done, strict=True)
+        done.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(best, pa.int64()), pa.array(sizes, pa.int64())], names=["text_digest", "keep_id", "group_size"])
+
     for b in batches:
-        for key, best, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            live = index.find(key)
-            if live is not None:
-                best = live[0] if best is None else best if live[0] is None else max(best, live[0])
-                n += live[1]
+        for at, key, best, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if at != slot:
+                close()
+                slot = at
+            held = index.find(key)
+            if held is None:
+                live.append(key)
+            else:
+                best = held[0] if best is None else best if held[0] is None else max(best, held[0])
+                n += held[1]
             index.put(key, (best, n))
-    rows = list(index.items())
-    for lo in range(0, len(rows), 20_000):
-        part = rows[lo : lo + 20_000]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([v[0] for _, v in part], pa.int64()), pa.array([v[1] for _, v in part], pa.int64())], names=["text_digest", "keep_id", "group_size"])
+        if len(done) >= 10_000:
+            yield out()
+    close()
+    if done:
+        yield out()
 
 
 def digest_groups(digests: DataFrame, shards: int | None = None) -> DataFrame:
-    """text_digest, keep_id, group_size: one row for each distinct text.  A shard holds its digests in memory."""
+    """text_digest, keep_id, group_size: one row for each distinct text."""
     kind = "text_digest binary, keep_id long, group_size long"
     shards = shards or numbered_partitions(digests.sparkSession)
-    return digests.mapInArrow(_combined, kind).repartition(shards, "text_digest").mapInArrow(_indexed, kind)
+    slot = F.conv(F.hex(F.substring("text_digest", 30, 3)), 16, 10).cast("int") % SLOTS
+    dealt = digests.mapInArrow(_combined, kind).select(slot.alias("slot"), "*").repartition(shards, "text_digest").sortWithinPartitions("slot")
+    return dealt.mapInArrow(_indexed, kind)
 
 
 def exact_dedup(docs: DataFrame, shards: int | None = None) -> DataFrame:
