@@ -1,8 +1,8 @@
 """Best-fit packing of documents into sequences by exact-complement hashing.
 
 The plan works on the histogram of piece lengths, which has at most ``size`` entries however many pieces there are.
-Longest first, each length looks up what fills its gap exactly: a single length, a pair from the index of pair sums,
-then a triple (a length and a pair sum).  A combination is consumed as often as the counts of its lengths allow.
+Longest first, each length looks up what fills its gap exactly: a single length, a pair in the index of pair sums,
+then a triple in the index of triple sums (``SumIndex``).  A combination is consumed as often as the counts of its lengths allow.
 What has no exact complement left is placed by best fit, longest first, into the smallest gap that takes it.
 
 A plan is a list of patterns with a count each.  Every piece has a rank among the pieces of its length (its rank within
@@ -27,43 +27,57 @@ from quillmark.llm.common import crc_of, table, written
 RANKS = 1 << 40  # more pieces of one length than this would not fit a plan's keys
 
 
-class Complements:
-    """Sums of one, two and three available lengths, by lookup; counts only ever fall."""
+class SumIndex:
+    """Sums of one, two and three available lengths by hash: what fills a gap exactly is looked up under the gap.
 
-    def __init__(self, counts: np.ndarray):
+    ``pairs`` has the larger length of each pair under the pair's sum, ``triples`` the largest length of each triple
+    under the triple's sum, whose other two are then in ``pairs`` under what is left; both largest first.  Counts only
+    ever fall, so an entry that they do not allow any more is taken out where it is met.
+    """
+
+    def __init__(self, counts: np.ndarray, most: int):
         self.counts = counts
         self.size = len(counts) - 1
-        self.first = np.minimum(np.arange(self.size + 1) - 1, self.size)  # of each pair sum: the largest length not ruled out
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+        lengths = np.flatnonzero(counts)[::-1].tolist()
+        for a in lengths if most > 1 else ():
+            for b in lengths:
+                if b <= a and a + b < self.size and (b < a or counts[a] > 1):
+                    self.pairs.setdefault(a + b, []).append(a)
+        for a in lengths if most > 2 else ():
+            for total in self.pairs:
+                if a + total < self.size and self.pairs[total][-1] <= a:
+                    self.triples.setdefault(a + total, []).append(a)
 
     def times(self, combo: tuple[int, ...]) -> int:
         """How often the counts allow a combination."""
         return min(int(self.counts[x]) // combo.count(x) for x in set(combo))
 
-    def pairs(self, total: int) -> Iterator[tuple[int, int]]:
-        a = int(self.first[total]) if total > 1 else 0
-        while 2 * a >= total > 1 and not (self.counts[a] and self.counts[total - a]):
-            a -= 1
-        self.first[total] = max(a, 0)
-        while 2 * a >= total > 1:
-            if self.counts[a] and self.counts[total - a]:
+    def of_two(self, total: int, at_most: int) -> Iterator[tuple[int, int]]:
+        entry = self.pairs.get(total, [])
+        if any(not (self.counts[a] and self.counts[total - a]) for a in entry):
+            entry = self.pairs[total] = [a for a in entry if self.counts[a] and self.counts[total - a]]
+        for a in entry:
+            if a <= at_most and self.counts[a] and self.counts[total - a]:
                 yield a, total - a
-            a -= 1
 
-    def fills(self, length: int, most: int) -> Iterator[tuple[int, ...]]:
-        """Combinations of ``length`` and at most ``most`` others that sum to the size exactly, fewest lengths first."""
+    def fills(self, length: int) -> Iterator[tuple[int, ...]]:
+        """Combinations of ``length`` and others that sum to the size exactly, fewest lengths first."""
         gap = self.size - length
         if not gap:
             yield (length,)
             return
         if self.counts[gap]:
             yield length, gap
-        for a, b in self.pairs(gap) if most > 1 else ():
+        for a, b in self.of_two(gap, gap):
             yield length, a, b
-        if most < 3:
-            return
-        for a in (np.flatnonzero(self.counts[: max(1, gap - 1)])[::-1]).tolist():
-            for b, c in self.pairs(gap - a):
-                if b <= a and self.counts[a]:
+        entry = self.triples.get(gap, [])
+        if any(not self.counts[a] for a in entry):
+            entry = self.triples[gap] = [a for a in entry if self.counts[a]]
+        for a in entry:
+            for b, c in self.of_two(gap - a, a):
+                if self.counts[a]:
                     yield length, a, b, c
 
 
@@ -79,10 +93,10 @@ def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 def _plan(counts: np.ndarray, most: int) -> list[tuple[tuple[int, ...], int]]:
     counts = np.array(counts, np.int64)
     size = len(counts) - 1
-    index, out, rest = Complements(counts), [], np.zeros(size + 1, np.int64)
+    index, out, rest = SumIndex(counts, most), [], np.zeros(size + 1, np.int64)
     for length in range(size, 0, -1):
         if counts[length]:
-            for combo in index.fills(length, most):
+            for combo in index.fills(length):
                 if n := index.times(combo):
                     out.append((combo, n))
                     for x in combo:
@@ -174,7 +188,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2) ->
     keys, first, offsets = slots(plan(counts), size)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = cut.join(ranks, ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    # a key has at most the pieces of one task, so the shuffle is even; the table of ranks grows with the tasks
+    ranked = cut.join(ranks.hint("merge"), ["length", "task"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
 
     def place(batches):
         for b in batches:
