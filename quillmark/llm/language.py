@@ -24,13 +24,15 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmark.llm.common import table
 from quillmark.llm.tokens import slices
 
 SAMPLE = 1200  # documents
+#: Bytes of the texts that it is trained on: of each and of all together, at most.
+LONGEST, SAMPLE_BYTES = 1 << 18, 1 << 25
 LEXICON = 4000  # words
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
@@ -237,11 +239,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
-    """Train on at most ``sample`` documents that are not held out and have a language."""
+    """Train on at most ``sample`` documents that are not held out and have a language, each of at most LONGEST bytes and
+    all together of at most SAMPLE_BYTES; of an id's several texts the first by (language, text)."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
     ids = known.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
-    found = rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).orderBy("doc_id").collect()
+    one = rows.where(F.octet_length("text") <= LONGEST).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row"))  # ``sample`` rows at most
+    so_far = F.sum(F.octet_length("row.text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    found = one.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).orderBy("doc_id").collect()
     return train([r["row"]["text"] for r in found], [r["row"]["lang"] for r in found])
 
 

@@ -8,7 +8,7 @@ large one speaks for itself; a document's own evidence is left out of its path's
 combined before the shuffle and joined by ``join_groups``, so a host may hold any share of the rows.
 
 Nulls: a null text is empty; a null host or path is the site ''.  A null doc_id keeps its row and is never labelled.
-Repeated rows are scored alike.  Documents without a single learnable label (or labels of one kind only) all get the
+Repeated rows are scored alike; of an id's several texts the one with the smallest features is learned from.  Documents without a single learnable label (or labels of one kind only) all get the
 mean label and are kept.  An empty table gives an empty result.  Other columns are not read.
 """
 
@@ -113,7 +113,7 @@ def train(rows: DataFrame, labels: DataFrame, limit: int = LABELLED) -> dict | N
     """The classifier, fitted on at most ``limit`` labelled documents; None if there are not labels of both kinds."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    found = rows.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "features", "quality").toPandas().sort_values("doc_id")
+    found = rows.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.first("quality").alias("quality")).toPandas().sort_values("doc_id")
     y = found["quality"].to_numpy(np.float64)
     if len(set(y.tolist())) < 2:
         return None
