@@ -16,8 +16,9 @@ class BadRequest(ValueError):
     pass
 
 
-def scoped(df: DataFrame, tenant: str | None, required: bool = False) -> DataFrame:
-    """Rows of a tenant.  The filter reaches the scan; where a tenant is required and none given, nothing matches."""
+def scoped(df: DataFrame, tenant: str | None, required: bool = True) -> DataFrame:
+    """Rows of a tenant.  The filter reaches the scan; without a tenant nothing matches, unless the caller says that none
+    is required (a single-tenant installation)."""
     if tenant is None:
         return df.where("false") if required else df
     return df.where(F.col("tenant_id") == tenant)

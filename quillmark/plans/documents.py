@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import word_count
@@ -12,6 +13,7 @@ from quillmark.operators.parse import parse
 from quillmark.operators.parsers import VERSION
 from quillmark.operators.parsers.image import Reader
 from quillmark.operators.serialise import block_table, page_table, with_text
+from quillmark.plans.store import kept
 
 SCHEMA_VERSION = "1.0"
 
@@ -63,13 +65,66 @@ def warnings_histogram(artifacts: DataFrame) -> DataFrame:
     return artifacts.select(F.explode("warnings").alias("w")).groupBy(F.col("w.code").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: An artifact is what one parser version makes of one document's content.
+KEY = ("document_id", "content_hash", "parser_version")
+TABLES = ("blocks", "pages", "artifacts")
+
+
+def artifact_key() -> Column:
+    return F.concat(F.lit("parsed/"), F.col("content_hash"), F.lit("/"), F.col("parser_version"), F.lit("/document.json"))
+
+
+def _stored(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """A table of the folder, or None before its first write; batches share one schema."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.option("mergeSchema", "false").parquet(f"{folder}/{name}")
+
+
 def write_artifacts(parsed: Parsed, folder: str) -> None:
-    """Artifacts, blocks and pages as Parquet, by content hash and parser version.
+    """Append artifacts, blocks and pages that the folder does not hold yet; what is there is never touched.
 
-    Partitions are overwritten one by one, so writing the same documents again changes nothing.
+    Every write is a batch of its own, and blocks and pages count only if an artifact of their batch points at them, so
+    a write that was cut off leaves nothing that anyone reads, and writing the same documents again changes nothing.
     """
-    prefix = F.substring("content_hash", 1, 2).alias("hash_prefix")
-    for name, df in (("blocks", parsed.blocks), ("pages", parsed.pages), ("artifacts", parsed.artifacts)):  # what others point at goes last
-        df = df.select("*", prefix) if "content_hash" in df.columns else df
-        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        (writer.partitionBy("hash_prefix") if "hash_prefix" in df.columns else writer).parquet(f"{folder}/{name}")
+    spark = parsed.artifacts.sparkSession
+    held = _stored(spark, folder, "artifacts")
+    fresh = parsed.artifacts.dropDuplicates(list(KEY))
+    if held is not None:
+        mine = [F.col(f"a.{c}").eqNullSafe(F.col(f"h.{c}")) for c in KEY]
+        fresh = fresh.alias("a").join(read_artifacts(spark, folder).artifacts.select(*KEY).alias("h"), mine, "left_anti")
+    batch = uuid.uuid4().hex
+    keys = kept(fresh.select("document_id").distinct(), "fresh-artifacts")
+    fresh = fresh.join(keys, "document_id", "left_semi") if held is None else fresh
+    for name, df in (("blocks", parsed.blocks), ("pages", parsed.pages)):
+        df.join(keys, "document_id", "left_semi").withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/{name}")
+    fresh.withColumn("artifact_key", artifact_key()).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{folder}/artifacts")
+
+
+def read_artifacts(spark: SparkSession, folder: str, keys: DataFrame | None = None) -> Parsed:
+    """The stored tables, of all artifacts or of those of an artifact_key in ``keys``; deleted ones are left out."""
+    artifacts = _stored(spark, folder, "artifacts")
+    if artifacts is None:
+        raise FileNotFoundError(f"{folder} holds no artifacts")
+    gone = _stored(spark, folder, "deleted")
+    if gone is not None:
+        artifacts = artifacts.join(gone.select("artifact_key", "batch").distinct(), ["artifact_key", "batch"], "left_anti")
+    if keys is not None:
+        artifacts = artifacts.join(keys.select("artifact_key").distinct(), "artifact_key", "left_semi")
+    own = artifacts.select("document_id", "batch").distinct()
+    blocks, pages = (_stored(spark, folder, x).join(own, ["document_id", "batch"], "left_semi").drop("batch") for x in TABLES[:2])
+    return Parsed(artifacts.drop("batch"), blocks, pages, artifacts.where("false").select("document_id", "content_hash", "media_type", F.lit("").alias("failure_class"), F.lit("").alias("failure_reason")))
+
+
+def artifact_exists(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+    """artifact_key and stored, for every key asked for."""
+    asked = keys.select("artifact_key").distinct()
+    held = read_artifacts(spark, folder, asked).artifacts.select("artifact_key").distinct().withColumn("stored", F.lit(True))
+    return asked.join(held, "artifact_key", "left").select("artifact_key", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
+def delete_artifacts(spark: SparkSession, folder: str, keys: DataFrame) -> None:
+    """Mark artifacts as deleted; a later write of the same document stores it anew."""
+    held = _stored(spark, folder, "artifacts").select("artifact_key", "batch")
+    held.join(keys.select("artifact_key").distinct(), "artifact_key", "left_semi").distinct().write.mode("append").parquet(f"{folder}/deleted")

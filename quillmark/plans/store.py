@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder on a local master, as in tests, and an error on a
+    cluster, whose machines would each see a folder of their own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.gettempdir()}{os.sep}quillmark-shared"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

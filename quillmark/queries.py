@@ -505,9 +505,9 @@ def claim_first(spark, sf_dir):
     return life.first_claims(li).select("document_id", F.col("offset").alias("first_line"))
 
 
-@query("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS id, l_orderkey % 5 IN (0, 3) AS claimed, CASE l_orderkey % 5 WHEN 1 THEN 'status is processing' WHEN 2 THEN 'status is ready' WHEN 4 THEN 'deleted' END AS reason FROM lineitem WHERE l_linenumber <= 2")
+@query("SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS id, l_orderkey % 5 IN (0, 3) AS claimed, CASE l_orderkey % 5 WHEN 1 THEN 'status is processing' WHEN 2 THEN 'status is ready' WHEN 4 THEN 'deleted' END AS reason FROM lineitem")
 def claim_documents(spark, sf_dir):
-    ids = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").cast("string").alias("document_id"))
+    ids = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("document_id"))
     return life.claim(_documents(spark, sf_dir), ids, F.expr(NOW))[1]
 
 
@@ -517,7 +517,7 @@ UNION ALL SELECT 'n' || o_orderkey, 'pending', 'new' FROM orders WHERE o_orderke
 def register_documents(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
     none = F.lit(None).cast("string")
-    new = o.select(F.explode(F.array(F.col("o_orderkey").cast("string"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")))).alias("document_id"), none.alias("tenant_id"), none.alias("project_id"), F.lit("new").alias("reference"), none.alias("media_type"), F.lit(None).cast("long").alias("size"))
+    new = o.select(F.explode(F.array(F.col("o_orderkey").cast("string"), F.concat(F.lit("n"), F.col("o_orderkey").cast("string")))).alias("document_id"), none.alias("tenant_id"), none.alias("project_id"), F.lit("new").alias("reference"), none.alias("media_type"), F.lit(None).cast("long").alias("size"), F.col("o_orderkey").alias("offset"))
     return life.register(_documents(spark, sf_dir), new, F.expr(NOW)).select("id", "status", "source_uri")
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillmark.errors import is_transient
 from quillmark.functions.text import options_hash
 from quillmark.operators.parsers import VERSION
-from quillmark.plans.documents import build, write_artifacts
+from quillmark.plans.documents import build, read_artifacts, write_artifacts
 from quillmark.sources.jobs import TOPIC_COMPLETED, TOPIC_REQUESTED, dead_letters, due, jobs, retry_delay, retry_topic, route
 from quillmark.streaming.lifecycle import ControlStore, claim, complete_runs, fail_runs, first_claims, register, start_runs
 
@@ -62,9 +62,10 @@ class Ingest:
         todo = fetched.join(started.select("document_id", F.col("id").alias("run_id")), "document_id")
         raw = todo.select("document_id", "filename", F.col("media_type").alias("declared_media_type"), "content")
         result = build(raw)
-        write_artifacts(result, f"{self.folder}/artifacts/batch={batch}")
-        done = self.spark.read.parquet(f"{self.folder}/artifacts/batch={batch}/artifacts").select("document_id", "content_hash") if self._has(f"{self.folder}/artifacts/batch={batch}/artifacts") else self.spark.createDataFrame([], "document_id string, content_hash string")
-        key = F.concat(F.lit("parsed/"), F.col("content_hash"), F.lit(f"/{self.version}/document.json"))
+        write_artifacts(result, f"{self.folder}/artifacts")
+        stored = read_artifacts(self.spark, f"{self.folder}/artifacts").artifacts.select("document_id", "content_hash", "parser_version")
+        done = stored.where(F.col("parser_version") == VERSION).join(todo.select("document_id", "content_hash"), ["document_id", "content_hash"], "left_semi").select("document_id", "content_hash")
+        key = F.concat(F.lit("parsed/"), F.col("content_hash"), F.lit(f"/{VERSION}/document.json"))
         complete = self._kept(done.join(started.select("document_id", "id"), "document_id").select("id", "document_id", key.alias("artifact_key"), "content_hash"), "complete", batch)
         lost = todo.select("document_id", "run_id").join(result.failures, "document_id")
         never = fetched.where("failure_class IS NOT NULL").select("document_id", F.lit(None).cast("string").alias("run_id"), "failure_class", F.lit("could not be fetched").alias("failure_reason"))
@@ -78,10 +79,6 @@ class Ingest:
         outbox.write.mode("overwrite").partitionBy("topic").parquet(f"{self.folder}/outbox/batch={batch}")
         self.store.commit(documents, runs, batch)
 
-    def _has(self, path: str) -> bool:
-        fs, p = self.store._fs(path)
-        return fs.exists(p) and any(s.getPath().getName().startswith(("part-", "hash_prefix=")) for s in fs.listStatus(p))
-
     def _messages(self, parsed: DataFrame, late: DataFrame, claimed: DataFrame, complete: DataFrame, failed: DataFrame, now) -> DataFrame:
         """Completed documents, retries, jobs that were not due, and dead letters."""
         body = lambda: F.to_json(F.struct(*(c for c in claimed.columns if c not in ("offset", "parse_options_hash")))).cast("binary")

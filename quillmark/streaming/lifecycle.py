@@ -51,9 +51,10 @@ def _marked(df: DataFrame, ids: DataFrame, key: str, mark: str) -> DataFrame:
 def register(documents: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     """Insert what is new; known documents are never reset, only their unknown fields are filled.
 
-    jobs: document_id, tenant_id, project_id, reference, media_type, size; the first of a document counts.
+    jobs: document_id, offset, tenant_id, project_id, reference, media_type, size; of a document's jobs the one of the
+    smallest offset counts, and for what it leaves open the next one.
     """
-    new = jobs.groupBy(F.col("document_id").alias("id")).agg(*(F.first(c, ignorenulls=True).alias(f"new_{c}") for c in ("tenant_id", "project_id", "reference", "media_type", "size")))
+    new = jobs.groupBy(F.col("document_id").alias("id")).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("offset"))).alias(f"new_{c}") for c in ("tenant_id", "project_id", "reference", "media_type", "size")))
     both = documents.join(new, "id", "full_outer")
     fresh = F.col("status").isNull()
     filled = {"tenant_id": "new_tenant_id", "project_id": "new_project_id", "source_uri": "new_reference", "media_type": "new_media_type", "byte_size": "new_size"}

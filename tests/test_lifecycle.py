@@ -19,7 +19,7 @@ def empty(spark):
 
 
 def job_rows(spark, *ids):
-    return spark.createDataFrame([(i, "t", None, f"s3://b/{i}", None, 5) for i in ids], "document_id string, tenant_id string, project_id string, reference string, media_type string, size long")
+    return spark.createDataFrame([(i, at, "t", None, f"s3://b/{i}", None, 5) for at, i in enumerate(ids)], "document_id string, offset long, tenant_id string, project_id string, reference string, media_type string, size long")
 
 
 def requests(spark, *ids):
@@ -120,7 +120,7 @@ def test_retries_and_routing(spark):
 def test_serving_is_scoped_to_a_tenant(spark):
     docs = life.register(empty(spark)[0], job_rows(spark, "a").unionByName(job_rows(spark, "b").withColumn("tenant_id", F.lit("u"))), at())
     assert [r["id"] for r in serving.scoped(docs, "u").collect()] == ["b"]
-    assert serving.scoped(docs, None, required=True).count() == 0 and serving.scoped(docs, None).count() == 2
+    assert serving.scoped(docs, None).count() == 0 and serving.scoped(docs, None, required=False).count() == 2
     with pytest.raises(Exception, match="another tenant"):
         serving.owned(docs, "u").collect()
     with pytest.raises(serving.BadRequest):
@@ -160,3 +160,32 @@ def test_settings():
     with pytest.raises(ConfigError):
         Settings.from_env({"OCR_DPI": "many"})
     assert Settings.from_env({"AWS_REGION": "r"}).spark_conf() == {"spark.hadoop.fs.s3a.endpoint.region": "r"}
+
+
+def test_artifacts_are_never_overwritten(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quillmark.plans.documents import artifact_exists, build, delete_artifacts, read_artifacts, write_artifacts
+
+    folder = str(tmp_path)
+    raw = lambda *ids: build(spark.createDataFrame([(f"d{i}", f"d{i}.md", None, f"# head {i}\n\ntext {i}".encode()) for i in ids], "document_id string, filename string, declared_media_type string, content binary"))
+    for ids in ((15,), (32,), (15, 32, 40), (40,)):
+        write_artifacts(raw(*ids), folder)
+    held = read_artifacts(spark, folder)
+    assert sorted(r["document_id"] for r in held.artifacts.collect()) == ["d15", "d32", "d40"]
+    assert sorted((r["document_id"], r["type"]) for r in held.blocks.collect()) == sorted((f"d{i}", t) for i in (15, 32, 40) for t in ("heading", "paragraph"))
+    key = held.artifacts.where("document_id = 'd32'").select("artifact_key")
+    one = read_artifacts(spark, folder, key)
+    assert [r["text"] for r in one.artifacts.collect()] == ["# head 32\n\ntext 32"] and one.blocks.count() == 2
+    delete_artifacts(spark, folder, key)
+    assert [r["stored"] for r in artifact_exists(spark, folder, key).collect()] == [False] and read_artifacts(spark, folder).artifacts.count() == 2
+    write_artifacts(raw(32), folder)
+    assert [r["stored"] for r in artifact_exists(spark, folder, key).collect()] == [True]
+    assert artifact_exists(spark, folder, spark.range(1).select(F.lit("parsed/none").alias("artifact_key"))).first()["stored"] is False
+
+
+def test_the_first_job_by_offset_registers_a_document(spark):
+    rows = [("a", 5, "t2", "r2"), ("a", 3, "t1", None), ("a", 9, "t3", "r3")]
+    jobs = spark.createDataFrame(rows, "document_id string, offset long, tenant_id string, reference string").selectExpr("*", "cast(null as string) project_id", "cast(null as string) media_type", "cast(null as long) size")
+    row = life.register(empty(spark)[0], jobs.repartition(3), at()).first()
+    assert (row["tenant_id"], row["source_uri"]) == ("t1", "r2")
