@@ -125,10 +125,10 @@ def options_hash(options: pd.Series) -> pd.Series:
 
 
 def mask(c: Column) -> Column:
-    """A secret for a log: its first and last two characters, if it has over eight."""
-    return F.when(F.length(c) > 8, F.concat(F.substring(c, 1, 2), F.lit("***"), F.right(c, F.lit(2)))).when(F.length(c) > 0, F.lit("***"))
+    """A secret for a log: its first and last four characters, if it has over eight; as ``config.masked``."""
+    return F.when(F.length(c) > 8, F.concat(F.substring(c, 1, 4), F.lit("…"), F.right(c, F.lit(4)))).when(F.length(c) > 0, F.lit("***"))
 
 
 def redact_url(c: Column) -> Column:
-    """A URL without its user, password, query and fragment."""
-    return F.regexp_replace(F.regexp_replace(c, "//[^/@]*@", "//"), "[?#].*$", "")
+    """A URL with ``***`` in place of its user and password; as ``config.redacted``."""
+    return F.regexp_replace(c, "^([a-zA-Z][a-zA-Z0-9+.-]*://).*@", "$1***@")

@@ -51,9 +51,10 @@ def test_lookups_by_offset(spark):
     blocks = spark.createDataFrame([("d", 0, 0, 30), ("d", 1, 0, 30), ("d", 2, 5, 9), ("d", 3, 9, 9)], "document_id string, ordinal int, span_start int, span_end int")
     asked = spark.createDataFrame([("d", 6), ("d", 9), ("d", 0), ("d", 30), ("e", 1), ("d", 6)], "document_id string, offset int")
     got = sorted(((r["document_id"], r["offset"]), r["block_ordinal"]) for r in lookup.block_at(asked, blocks).where("block_ordinal IS NOT NULL").collect())
-    assert got == [(("d", 0), 1), (("d", 6), 2), (("d", 9), 1)]
+    assert got == [(("d", 0), 1), (("d", 6), 2), (("d", 6), 2), (("d", 9), 1)]
     pages = spark.createDataFrame([("d", 1, 0, 10), ("d", 2, 8, 20)], "document_id string, number int, span_start int, span_end int")
     assert {(r["offset"], r["page"]) for r in lookup.page_at(asked.where("document_id = 'd'"), pages).collect()} == {(6, 1), (9, 1), (0, 1), (30, None)}
+    assert sorted(r["offset"] for r in lookup.page_at(asked.where("document_id = 'd'"), pages).collect()) == [0, 6, 6, 9, 30]
 
 
 def test_heading_paths(spark):
@@ -64,6 +65,13 @@ def test_heading_paths(spark):
     assert lookup.table_shape(result.blocks).select("n_rows", "n_columns").first() == (3, 3)
 
 
+def test_heading_paths_of_great_depth(spark):
+    rows = [("d", i, i - 1 if i else None, "heading", f"# h{i}") for i in range(300)] + [("e", 0, None, "paragraph", "x")]
+    blocks = spark.createDataFrame(rows, "document_id string, ordinal int, parent int, type string, own string")
+    paths = {(r["document_id"], r["ordinal"]): r["path"] for r in lookup.heading_path(blocks).collect()}
+    assert len(paths) == 301 and paths["e", 0] == [] and all(paths["d", i] == [f"h{j}" for j in range(i + 1)] for i in range(300))
+
+
 def test_plans_stay_equi_joins(spark):
     docs = spark.createDataFrame([(0, "x")], "document_id long, text string")
     quotes = spark.createDataFrame([(0, "one two three four")], "quote_id long, quote string")

@@ -3,6 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillmark.config import masked, redacted
+
 from quillmark.functions import plain
 from quillmark.functions import text as T
 
@@ -71,4 +73,7 @@ def test_ids_and_option_hashes(spark):
 def test_markup_and_redaction(spark):
     df = spark.createDataFrame([("# a", True), ("x\n1) b", True), ("```py", True), ("plain - text", False), ("#no", False)], "t string, want boolean")
     assert all(r["got"] == r["want"] for r in df.withColumn("got", T.has_markup(F.col("t"))).collect())
-    assert spark.sql("SELECT 'https://u:p@h/x?sig=1' AS u").select(T.redact_url(F.col("u"))).first()[0] == "https://h/x"
+    urls = ["https://u:p@h/x?a=1", "postgresql://role:secret@h/db", "https://h/x", ""]
+    got = spark.createDataFrame([(u, s) for u, s in zip(urls, ["AKIA1234567890WXYZ", "short", "", "123456789"], strict=True)], "u string, s string")
+    for r in got.withColumn("shown", T.redact_url(F.col("u"))).withColumn("masked", T.mask(F.col("s"))).collect():
+        assert r["shown"] == (redacted(r["u"]) or "") and r["masked"] == masked(r["s"])
