@@ -7,6 +7,7 @@ words: document_id, page, idx, text, conf, block_num, par_num, line_num, left, t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -124,45 +125,42 @@ def bullet_text(text: str) -> str | None:
     return text[2:].strip() if text.startswith(DASHES) else None
 
 
+def _role(line: dict) -> str:
+    """A bullet makes an item, else a level makes a heading."""
+    if bullet_text(line["text"]) is not None:
+        return "item"
+    return "text" if line["level"] is None or line["level"] != line["level"] else "heading"
+
+
+def _block(role: str, run: list[dict]) -> Block:
+    """One block of neighbours with the same role."""
+    page = run[0]["page"]
+    if role == "table":
+        return Block("table", page=page, rows=[list(r) for r in run[0]["rows"]])
+    if role == "heading":
+        return Block("heading", one_line(run[0]["text"]), int(run[0]["level"]), page=page)
+    if role == "item":
+        items = [Block("list_item", one_line(bullet_text(x["text"])), 1, page=x["page"], ordered=False, confidence=x["confidence"]) for x in run]
+        return Block("list", page=page, ordered=False, children=items)
+    known = [x["confidence"] for x in run if x["confidence"] is not None and x["confidence"] == x["confidence"]]
+    return Block("paragraph", unwrap("\n".join(x["text"] for x in run)), page=page, confidence=sum(known) / len(known) if known else None)
+
+
 def outline(rows: list[dict], tables: list[dict]) -> Outline:
-    """Lines (with level and paragraph) and tables of one document, in order, to headings, lists and paragraphs."""
+    """Lines (with level and paragraph) and tables of one document, in order, to headings, lists and paragraphs.
+
+    Neighbours form a block if they are lines of text in one paragraph, or items; of a table and a line at the same
+    height the line comes first.
+    """
     out = Outline("pdf")
-    held: list[dict] = []
-    open_list: Block | None = None
-
-    def flush() -> None:
-        if held:
-            known = [x["confidence"] for x in held if x["confidence"] is not None and x["confidence"] == x["confidence"]]
-            text = unwrap("\n".join(x["text"] for x in held))
-            if text:
-                out.under_heading(Block("paragraph", text, page=held[0]["page"], confidence=sum(known) / len(known) if known else None))
-            held.clear()
-
-    items = [(r["page"], -r["top"], 0, r) for r in rows] + [(t["page"], -t["top"], 1, t) for t in tables]
-    before = None
-    for page, _, kind, x in sorted(items, key=lambda i: i[:3]):
-        if kind:
-            flush()
-            open_list = before = None
-            out.under_heading(Block("table", page=page, rows=[list(r) for r in x["rows"]]))
-            continue
-        if before is not None and before != x["paragraph"]:
-            flush()
-        before = x["paragraph"]
-        bullet = bullet_text(x["text"])
-        if x["level"] is not None and x["level"] == x["level"] and bullet is None:
-            flush()
-            open_list = None
-            out.under_heading(Block("heading", one_line(x["text"]), int(x["level"]), page=page))
-        elif bullet is not None:
-            flush()
-            if open_list is None:
-                open_list = out.under_heading(Block("list", page=page, ordered=False))
-            open_list.children.append(Block("list_item", one_line(bullet), 1, page=page, ordered=False, confidence=x["confidence"]))
-        else:
-            open_list = None
-            held.append(x)
-    flush()
+    placed = [(_role(r), r) for r in rows] + [("table", t) for t in tables]
+    placed.sort(key=lambda x: (x[1]["page"], -x[1]["top"], x[0] == "table"))
+    together = {"text": lambda x, at: x["paragraph"], "item": lambda x, at: None}
+    keyed = [(role, together.get(role, lambda x, at: at)(x, at)) for at, (role, x) in enumerate(placed)]
+    for (role, _), run in groupby(range(len(placed)), key=keyed.__getitem__):
+        block = _block(role, [placed[i][1] for i in run])
+        if block.kind != "paragraph" or block.text:
+            out.under_heading(block)
     out.meta["title"] = next((b.text for b in out.roots if b.kind == "heading"), None)
     return out
 

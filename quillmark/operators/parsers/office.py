@@ -5,12 +5,14 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from collections.abc import Iterator
 from datetime import datetime, timedelta
+from itertools import groupby
 from xml.etree import ElementTree as ET
 
 from quillmark.errors import ParseFailure
 from quillmark.functions.plain import one_line
-from quillmark.operators.parsers.outline import Block, Outline
+from quillmark.operators.parsers.outline import Block, Outline, nested_lists
 
 #: XML namespaces, limits, style names.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -19,8 +21,9 @@ R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 CORE = {"title": "{http://purl.org/dc/elements/1.1/}title", "author": "{http://purl.org/dc/elements/1.1/}creator", "subject": "{http://purl.org/dc/elements/1.1/}subject", "language": "{http://purl.org/dc/elements/1.1/}language", "created_at": "{http://purl.org/dc/terms/}created", "modified_at": "{http://purl.org/dc/terms/}modified"}
 KEYWORDS = "{http://schemas.openxmlformats.org/package/2006/metadata/core-properties}keywords"
 MAX_ROWS, MAX_COLUMNS = 5000, 64
-HEADING_STYLES = ("heading", "titre", "berschrift")
-LIST_STYLES = ("list bullet", "list number", "list paragraph")
+HEADING_STYLE = re.compile(r"(?:heading|titre|berschrift)\D*(\d)")
+TITLE_STYLES = {"title": 1, "subtitle": 2}
+LIST_STYLE = re.compile(r"list (?:bullet|number|paragraph)")
 DATE_FORMATS = frozenset([14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 30, 36, 45, 46, 47, 50, 57])
 
 
@@ -68,28 +71,48 @@ def _text(p: ET.Element) -> str:
     return "".join(out)
 
 
-def _digits(style: str) -> str:
-    return "".join(filter(str.isdigit, style))
-
-
-def heading_level(style: str) -> int | None:
-    if style in ("title", "subtitle"):
-        return 1 if style == "title" else 2
-    digits = _digits(style)
-    return min(int(digits[0]), 6) if digits and style.startswith(HEADING_STYLES) else None
-
-
-def list_level(p: ET.Element, style: str) -> int | None:
-    """By the paragraph's own numbering, else by the name of its style."""
-    numbering = p.find(f"{W}pPr/{W}numPr")
-    if numbering is not None:
-        level = numbering.find(f"{W}ilvl")
-        value = level.get(f"{W}val", "") if level is not None else ""
-        return max(int(value), 0) if re.fullmatch(r"-?\d+", value) else 0
-    if not any(x in style for x in LIST_STYLES):
-        return None
-    digits = _digits(style)
-    return max(int(digits) - 1, 0) if digits else 0
+def _value(p: ET.Element, path: str) -> str | None:
+    """The w:val of an element below a paragraph's properties; empty where it has none, null without the element."""
+    found = p.find("/".join(f"{W}{x}" for x in ("pPr", *path.split("/"))))
+    return None if found is None else found.get(f"{W}val", "")
+
+
+def style_levels(style: str) -> tuple[int | None, int | None]:
+    """The level of a heading and of a list item, as far as the name of a style says."""
+    m = HEADING_STYLE.match(style)
+    heading = TITLE_STYLES.get(style, min(int(m[1]), 6) if m else None)
+    number = re.sub(r"\D", "", style)
+    return heading, max(int(number or 1) - 1, 0) if LIST_STYLE.search(style) else None
+
+
+def style_names(styles: ET.Element | None) -> tuple[dict[str | None, str], str]:
+    """Names of styles by id, in small letters, and that of a paragraph without one."""
+    rows = [] if styles is None else [(s, s.find(f"{W}name")) for s in styles.findall(f"{W}style")]
+    names = {s.get(f"{W}styleId"): ("" if name is None else name.get(f"{W}val", "")).strip().lower() for s, name in rows}
+    defaults = [names[s.get(f"{W}styleId")] for s, _ in rows if s.get(f"{W}type") == "paragraph" and s.get(f"{W}default") in ("1", "true")]
+    return names, defaults[-1] if defaults else ""
+
+
+def body_rows(body: ET.Element, names: dict[str | None, str], default: str) -> Iterator[tuple[str, int, Block]]:
+    """kind, level and block of every table and paragraph that holds text, in order.  A paragraph's own numbering says
+    more of a list than its style, and a heading's style more than both."""
+    for x in body:
+        if x.tag == f"{W}tbl":
+            rows = [[one_line(" ".join(_text(p) for p in cell.findall(f"{W}p"))) for cell in row.findall(f"{W}tc")] for row in x.findall(f"{W}tr")]
+            yield "table", 0, Block("table", rows=rows if any(map(any, rows)) else None)
+        elif x.tag == f"{W}p" and (text := one_line(_text(x))):
+            own = _value(x, "pStyle")
+            style = default if own is None else names.get(own or None, default)
+            heading, item = style_levels(style)
+            if x.find(f"{W}pPr/{W}numPr") is not None:
+                level = _value(x, "numPr/ilvl") or ""
+                item = max(int(level), 0) if re.fullmatch(r"-?\d+", level) else 0
+            if heading is not None:
+                yield "heading", heading, Block("heading", text, heading)
+            elif item is not None:
+                yield "list", item, Block("list_item", text, ordered="number" in style)
+            else:
+                yield "paragraph", 0, Block("paragraph", text)
 
 
 def parse_docx(data: bytes) -> Outline:
@@ -97,54 +120,26 @@ def parse_docx(data: bytes) -> Outline:
     body = package.part("word/document.xml", needed=True).find(f"{W}body")
     if body is None:
         raise ParseFailure("corrupt", "could not open as DOCX: it has no body")
-    styles = package.part("word/styles.xml")
-    names, default = {}, ""
-    for s in styles.findall(f"{W}style") if styles is not None else []:
-        name = s.find(f"{W}name")
-        names[s.get(f"{W}styleId")] = (name.get(f"{W}val", "") if name is not None else "").strip().lower()
-        if s.get(f"{W}type") == "paragraph" and s.get(f"{W}default") in ("1", "true"):
-            default = names[s.get(f"{W}styleId")]
     out = Outline("docx")
-    lists: list[tuple[int, Block]] = []
-    for child in body:
-        if child.tag == f"{W}tbl":
-            lists.clear()
-            rows = [[one_line(" ".join(_text(p) for p in cell.findall(f"{W}p"))) for cell in row.findall(f"{W}tc")] for row in child.findall(f"{W}tr")]
-            if any(map(any, rows)):
-                out.under_heading(Block("table", rows=rows))
-        elif child.tag == f"{W}p" and (text := one_line(_text(child))):
-            own = child.find(f"{W}pPr/{W}pStyle")
-            style = names.get(own.get(f"{W}val"), default) if own is not None else default
-            if (level := heading_level(style)) is not None:
-                lists.clear()
-                out.under_heading(Block("heading", text, level))
-            elif (level := list_level(child, style)) is not None:
-                _add_item(out, lists, text, level, "number" in style)
-            else:
-                lists.clear()
-                out.under_heading(Block("paragraph", text))
+    for kind, rows in groupby(body_rows(body, *style_names(package.part("word/styles.xml"))), key=lambda row: row[0]):
+        if kind == "list":
+            lists = nested_lists([(level, item) for _, level, item in rows], below_last=False)
+            todo = list(lists)
+            for block in todo:
+                for n, item in enumerate(block.children, 1):
+                    item.number = n if item.ordered else None
+                    todo += item.children
+            blocks = lists
+        else:
+            blocks = [block for _, _, block in rows if kind != "table" or block.rows]
+        for block in blocks:
+            out.under_heading(block)
     out.meta |= package.core()
     if "title" not in out.meta and (title := out.opening_title()):
         out.meta["title"] = title
     return out
 
 
-def _add_item(out: Outline, lists: list[tuple[int, Block]], text: str, level: int, ordered: bool) -> None:
-    while lists and lists[-1][0] > level:
-        lists.pop()
-    if not lists or lists[-1][0] < level:
-        block = Block("list", ordered=ordered)
-        if lists:
-            above = lists[-1][1]
-            (above.children[-1] if above.children else above).children.append(block)
-        else:
-            out.under_heading(block)
-        lists.append((level, block))
-    home = lists[-1][1].children
-    number = sum(x.kind == "list_item" for x in home) + 1 if ordered else None
-    home.append(Block("list_item", text, len(lists), ordered=ordered, number=number))
-
-
 def _column(ref: str) -> int:
     n = 0
     for c in filter(str.isalpha, ref):

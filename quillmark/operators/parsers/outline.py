@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -21,6 +23,31 @@ class Block:
     children: list[Block] = field(default_factory=list)
 
 
+def nested_lists(items: Iterable[tuple[int, Block]], below_last: bool) -> list[Block]:
+    """Lists of items with their indentation; the outermost are returned.
+
+    An item belongs to the innermost list that is not indented further.  Where it is itself indented further than
+    that list it starts one below the item before it (below_last) or below the last item of that list.
+    """
+    roots: list[Block] = []
+    indents: list[int] = []
+    at_depth: dict[int, Block] = {}
+    last: Block | None = None
+    for indent, item in items:
+        del indents[bisect_right(indents, indent) :]
+        if not indents or indents[-1] < indent:
+            made = Block("list", ordered=item.ordered)
+            above = at_depth[len(indents)] if indents else None
+            home = roots if above is None else (last if below_last else above.children[-1]).children
+            home.append(made)
+            indents.append(indent)
+            at_depth[len(indents)] = made
+        item.depth = len(indents)
+        at_depth[item.depth].children.append(item)
+        last = item
+    return roots
+
+
 class Outline:
     """Roots, open headings, metadata, page information and warnings."""
 
@@ -56,13 +83,17 @@ class Outline:
         """
         out: list[dict[str, Any]] = []
 
-        def kept(b: Block) -> bool:
-            below = [kept(c) for c in b.children]
-            b.children = [c for c, k in zip(b.children, below, strict=True) if k]
+        order = list(self.roots)
+        for b in order:
+            order += b.children
+        empty: set[int] = set()
+        for b in reversed(order):  # children before their parents
+            b.children = [c for c in b.children if id(c) not in empty]
             own = b.kind in ("heading", "list_item", "code") or bool(b.rows) or (b.kind not in ("list", "table") and bool(b.text.strip()))
-            return own or bool(b.children)
+            if not (own or b.children):
+                empty.add(id(b))
 
-        todo = [(b, None, i == 0) for i, b in reversed(list(enumerate(x for x in self.roots if kept(x))))]
+        todo = [(b, None, i == 0) for i, b in reversed(list(enumerate(x for x in self.roots if id(x) not in empty)))]
         parents: list[int] = []
         while todo:
             b, parent, first = todo.pop()
