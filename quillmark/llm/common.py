@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 
 #: A group that holds more than 1/HOT_SHARE of all rows is joined by broadcast; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
+#: Bytes of one Arrow batch on its way to or from a Python worker while a table is written; several stand in an executor's
+#: memory at once, beside its heap.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +44,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH_SETTING, None)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_BATCH_SETTING) if before is None else spark.conf.set(_BATCH_SETTING, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
