@@ -101,11 +101,11 @@ def page_images(images: DataFrame, documents: DataFrame, tenant: str | None, num
     return images.where(F.col("number") == number).join(mine.where(is_readable(mine)).select(F.col("id").alias("document_id")), "document_id", "left_semi")
 
 
-def reprocess(documents: DataFrame, tenant: str | None = None) -> DataFrame:
-    """Outbox rows that ask for documents to be parsed again; 409 for one without a source."""
+def reprocess(documents: DataFrame, tenant: str | None = None, required: bool = True) -> DataFrame:
+    """Outbox rows that ask for documents to be parsed again; 409 for one without a source.  tenant as in ``scoped``."""
     from quillmark.sources.jobs import TOPIC_REQUESTED
 
-    mine = scoped(documents, tenant).where("deleted_at IS NULL")
+    mine = scoped(documents, tenant, required).where("deleted_at IS NULL")
     job = F.to_json(F.struct(F.col("id").alias("document_id"), F.col("source_uri").alias("reference"), "tenant_id", "project_id", "media_type", F.lit(True).alias("force")))
     return mine.select("id", F.when(F.col("source_uri").isNull(), 409).otherwise(202).alias("code"), F.lit(TOPIC_REQUESTED).alias("topic"), F.when(F.col("source_uri").isNotNull(), job.cast("binary")).alias("value"))
 

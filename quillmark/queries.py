@@ -593,7 +593,7 @@ def current_pointer(spark, sf_dir):
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 4 > 0 THEN 202 ELSE 409 END AS code FROM orders WHERE o_orderkey % 5 <> 4")
 def reprocess_requests(spark, sf_dir):
-    return serving.reprocess(_documents(spark, sf_dir)).select("id", "code")
+    return serving.reprocess(_documents(spark, sf_dir), required=False).select("id", "code")
 
 
 @query(f"SELECT CAST(doc_id AS VARCHAR) AS document_id, sha256({_JOINED}) AS text_sha256, CAST(1 AS BIGINT) AS n_blocks FROM documents")
