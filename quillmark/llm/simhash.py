@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.llm import shingles
-from quillmark.llm.common import join_groups, numbered_partitions, table, written
+from quillmark.llm.common import HOT_SHARE, join_groups, numbered_partitions, table, written
 from quillmark.llm.components import components
 
 SEGMENTS, WIDTH, BITS = 8, 8, 3
@@ -35,8 +35,6 @@ SEED = 42
 #: Words of a shingle window handled at once; fingerprints of a key compared at once (more are cut into blocks).
 CHUNK_WORDS = 1 << 15
 BLOCK = 2048
-#: Keys of more fingerprints than BLOCK that are broadcast; more of them are joined by shuffle.
-HOT_KEYS = 20_000
 
 
 def fingerprint(text: bytes, size: int = 3) -> int:
@@ -200,26 +198,24 @@ def near_links(prints: DataFrame, n: int, chain: int | None = None, block: int =
 
     rows = prints.select("fp").mapInArrow(spread, "key long, turned long")
     hot = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > block), "hot-keys")
-    n_hot = hot.count()
-    whole = F.lit(0).alias("part"), F.lit(0).alias("side"), F.col("turned")
-    if n_hot:
-        # a hot key's fingerprints fall into n blocks; block i meets block j in part (i, j), once for i = j
-        side_table = F.broadcast(hot) if n_hot <= HOT_KEYS else hot
-        blocks = F.ceil(F.col("held") / block).cast("int")
-        split = (
-            rows.join(side_table, "key")
-            .select("key", "turned", blocks.alias("blocks"), F.pmod(F.xxhash64("turned"), blocks).cast("int").alias("own"))
-            .select("key", "turned", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            .select(
-                "key",
-                (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other") + 1).cast("int").alias("part"),
-                F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
-                "turned",
-            )
+    # a key of over 1/HOT_SHARE of all rows meets its count by broadcast; a shuffle brings together small keys only
+    share = F.col("held") * HOT_SHARE > n * SEGMENTS * max(1, WIDTH * (chain - 2))
+    most = F.broadcast(hot.where(share))
+    others = rows.join(most.select("key"), "key", "left_anti").join(hot.where(~share), "key", "left")
+    # a hot key's fingerprints fall into n blocks; block i meets block j in part (i, j), once for i = j
+    blocks = F.coalesce(F.ceil(F.col("held") / block), F.lit(1)).cast("int")
+    rows = (
+        rows.join(most, "key")
+        .unionByName(others)
+        .select("key", "turned", blocks.alias("blocks"), F.pmod(F.xxhash64("turned"), blocks).cast("int").alias("own"))
+        .select("key", "turned", "blocks", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select(
+            "key",
+            (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("int").alias("part"),
+            F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
+            "turned",
         )
-        rows = rows.join(side_table.select("key"), "key", "left_anti").select("key", *whole).unionByName(split)
-    else:
-        rows = rows.select("key", *whole)
+    )
     dealt = rows.repartition(numbered_partitions(spark), "key", "part").sortWithinPartitions("key", "part")
     return dealt.mapInArrow(lambda batches: _links(batches, chain), "a long, b long")
 
