@@ -192,7 +192,7 @@ def html_text(spark, sf_dir):
     return _pages(spark, sf_dir).artifacts.select("document_id", "text", F.col("metadata.title").alias("title"), F.col("metadata.block_count").alias("blocks"))
 
 
-@query()
+@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, 'application/json' AS media_type, 'unsupported_format' AS failure, 'no parser for application/json' AS reason FROM documents WHERE NOT regexp_matches(text, '^(%PDF-|GIF8|BM)') AND text <> ''")
 def parse_failures(spark, sf_dir):
     raw = files.text_documents(spark, f"{sf_dir}/documents.parquet", "doc_id", "text", "json")
     return parse(raw).where("failure IS NOT NULL").select("document_id", "media_type", "failure", "reason")
@@ -210,6 +210,88 @@ def csv_parse(spark, sf_dir):
     return cells.select("document_id", (F.col("at") + 1).alias("row_no"), F.col("row")[0].alias("a"), F.col("row")[1].alias("b"), F.col("row")[2].alias("c"))
 
 
+# ---------------------------------------------------------------- structure of made documents
+
+
+def _made(rows: DataFrame, key: str, content, extension: str) -> plans.Parsed:
+    """Documents made of a table's rows, one for each."""
+    none = F.lit(None).cast("string")
+    raw = rows.select(F.col(key).cast("string").alias("document_id"), F.lit(f"made.{extension}").alias("filename"), none.alias("declared_media_type"), content.alias("content"))
+    return plans.build(raw, ids=False)
+
+
+def _blocks_sql(kinds: list[tuple[str, int, str]]) -> str:
+    """SQL of the block table of a document for each supplier: (type, depth, own text as an SQL expression) in order."""
+    one = "SELECT CAST(s_suppkey AS VARCHAR) AS document_id, CAST({} AS INTEGER) AS ordinal, '{}' AS type, CAST({} AS INTEGER) AS depth, {} AS own FROM supplier"
+    return " UNION ALL ".join(one.format(i, kind, depth, own) for i, (kind, depth, own) in enumerate(kinds))
+
+
+_KEY = "s_suppkey || ''"
+_MARKDOWN = """# Supplier {k} #
+
+Named  {n},
+at home.
+---
+
+* first {k}
+* second
+    3) inner {n}
+
+```sql
+SELECT  {k}
+
+;
+```
+| key | name |
+|:--|---:|
+| {k} | a\\|b |
+End of the table.
+
+***
+### Last
+~~~
+{n}
+~~~"""
+
+
+@query(_blocks_sql([
+    ("heading", 1, f"'# Supplier ' || {_KEY}"), ("paragraph", 0, "'Named ' || s_name || ', at home. ---'"), ("list", 0, "''"), ("list_item", 1, f"'- first ' || {_KEY}"), ("list_item", 1, "'- second'"), ("list", 0, "''"), ("list_item", 2, "'  3. inner ' || s_name"),
+    ("code", 0, f"'```sql' || chr(10) || 'SELECT  ' || {_KEY} || chr(10) || chr(10) || ';' || chr(10) || '```'"), ("table", 0, f"'| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || {_KEY} || ' | a\\|b |'"),
+    ("paragraph", 0, "'End of the table.'"), ("heading", 3, "'### Last'"), ("code", 0, "'```' || chr(10) || s_name || chr(10) || '```'"),
+]))
+def markdown_blocks(spark, sf_dir):
+    text = F.replace(F.replace(F.lit(_MARKDOWN), F.lit("{k}"), F.col("s_suppkey").cast("string")), F.lit("{n}"), F.col("s_name"))
+    return _made(table(spark, sf_dir, "supplier"), "s_suppkey", F.encode(text, "UTF-8"), "md").blocks.select("document_id", "ordinal", "type", "depth", "own")
+
+
+_HTML = """<html><head><title>unseen</title><style>p {}</style></head><body><nav><p>skipped</p></nav><h1>Supplier &amp; {k}</h1>
+<p>Named <b>{n}</b>,<br>at  home</p><div>loose {k}</div><ul><li>first {k}</li><li>second</li></ul><ol><li>only</li></ol>
+<table><tr><th>key</th><th>name</th></tr><tr><td>{k}</td><td>a|b</td></tr><tr><td></td></tr></table><pre>x
+  {n}</pre><script>gone()</script><h3>Last</h3><aside>skipped</aside><blockquote>said {n}</blockquote><footer>skipped</footer></body></html>"""
+
+
+@query(_blocks_sql([
+    ("heading", 1, f"'# Supplier & ' || {_KEY}"), ("paragraph", 0, "'Named ' || s_name || ', at home'"), ("paragraph", 0, f"'loose ' || {_KEY}"), ("list", 0, "''"), ("list_item", 1, f"'- first ' || {_KEY}"), ("list_item", 1, "'- second'"), ("list", 0, "''"), ("list_item", 1, "'1. only'"),
+    ("table", 0, f"'| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || {_KEY} || ' | a\\|b |'"), ("code", 0, "'```' || chr(10) || 'x' || chr(10) || '  ' || s_name || chr(10) || '```'"), ("heading", 3, "'### Last'"), ("paragraph", 0, "'said ' || s_name"),
+]))
+def html_structure(spark, sf_dir):
+    text = F.replace(F.replace(F.lit(_HTML), F.lit("{k}"), F.col("s_suppkey").cast("string")), F.lit("{n}"), F.col("s_name"))
+    return _made(table(spark, sf_dir, "supplier"), "s_suppkey", F.encode(text, "UTF-8"), "html").blocks.select("document_id", "ordinal", "type", "depth", "own")
+
+
+@query("""
+SELECT CAST(s_suppkey AS VARCHAR) AS document_id, 'name ' || s_name || chr(10) || chr(10) || CASE WHEN s_suppkey % 4 = 3 THEN 'caf' || chr(233) || ' ' || chr(8364) ELSE 'fine ' || chr(233) || ' 10' END AS text,
+  CASE WHEN s_suppkey % 4 = 3 THEN 'encoding_guessed' END AS warning FROM supplier""")
+def decoded_text(spark, sf_dir):
+    """UTF-16 and UTF-8 with a mark, plain UTF-8 and cp1252; a ligature, a soft hyphen and a zero-width space are repaired."""
+    k = F.col("s_suppkey") % 4
+    body = F.concat(F.lit("name "), F.col("s_name"), F.lit("\r\n\r\nﬁne​ é 1­0"))
+    old = F.concat(F.encode(F.concat(F.lit("name "), F.col("s_name"), F.lit("\r\n\r\ncaf")), "UTF-8"), F.unhex(F.lit("E92080")))
+    content = F.when(k == 0, F.encode(body, "UTF-16")).when(k == 1, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(body, "UTF-8"))).when(k == 2, F.encode(body, "UTF-8")).otherwise(old)
+    found = _made(table(spark, sf_dir, "supplier"), "s_suppkey", content, "txt").artifacts
+    return found.select("document_id", "text", F.get("warnings", F.lit(0))["code"].alias("warning"))
+
+
 def _transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as documents: a paragraph for each turn, two turns to a page."""
     turns = table(spark, sf_dir, "conversations")
@@ -329,6 +411,20 @@ def locate_quotes(spark, sf_dir):
     return locate.locate(quotes, texts.select("document_id", "text"), blocks, serialise.page_table(blocks))
 
 
+@query("""
+WITH d AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY conv_id),
+q AS (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations),
+f AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn AS INTEGER) AS quote_idx, CASE WHEN length(t) >= 8 THEN t END AS text, CAST(strpos(whole, t) - 1 AS INTEGER) AS pos FROM q JOIN d USING (conv_id))
+SELECT document_id, quote_idx, CASE WHEN text IS NULL THEN 'none' ELSE 'exact' END AS match, CASE WHEN text IS NOT NULL THEN pos END AS span_start, CAST(pos + length(text) AS INTEGER) AS span_end, sha256(text) AS text_sha256 FROM f""")
+def locate_turns(spark, sf_dir):
+    """Every turn as a quote, whole, in its conversation."""
+    quotes = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("int").alias("quote_idx"), F.col("text").alias("quote"))
+    texts = kept(_transcript(spark, sf_dir), "transcripts")
+    blocks = kept(serialise.block_table(texts), "turns")
+    found = locate.locate(quotes, texts.select("document_id", "text"), blocks, serialise.page_table(blocks))
+    return found.select("document_id", "quote_idx", "match", "span_start", "span_end", F.sha2("text", 256).alias("text_sha256"))
+
+
 # ---------------------------------------------------------------- layout
 
 _LINES = """
