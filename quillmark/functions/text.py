@@ -14,6 +14,13 @@ _SPACE_CLASS = f"[{plain.SPACES}]"
 ANY_SPACE = "[\\s\\x1c-\\x1f\\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+def _one_blank(c: Column, space: str) -> Column:
+    """Runs of ``space`` (a character class with the blank) become one blank.  A blank by itself, the commonest run by
+    far, is no match, as replacing it would only copy it."""
+    return F.regexp_replace(c, f"(?: {space}++|(?! ){space}++)", " ")
+
+
+
 @F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     import unicodedata
@@ -43,29 +50,31 @@ def normalise(c: Column, compose: bool = True) -> Column:
 
 def collapse_ws(c: Column) -> Column:
     """Runs of spaces within each line become one; lines are stripped."""
-    lines = F.split(F.regexp_replace(c, f"{_SPACE_CLASS}+", " "), "\n")
+    lines = F.split(_one_blank(c, _SPACE_CLASS), "\n")
     return F.array_join(F.transform(lines, strip), "\n")
 
 
 def clean_inline(c: Column, compose: bool = True) -> Column:
-    return strip(F.regexp_replace(F.translate(normalise(c, compose), "\n", " "), f"{_SPACE_CLASS}+", " "))
+    return strip(_one_blank(F.replace(normalise(c, compose), F.lit("\n"), F.lit(" ")), _SPACE_CLASS))
 
 
 def join_wrapped(c: Column) -> Column:
     """Lines of a paragraph become one; a word that a hyphen breaks over a line end is joined."""
     broken = F.regexp_like(c, F.lit(f"[-\u2010\u2011]{ANY_SPACE}*\n"))  # most texts have none, and the full pattern is slow
     c = F.when(~broken, c).otherwise(F.regexp_replace(c, f"(?U)(\\w)[-\u2010\u2011]{ANY_SPACE}*\n{ANY_SPACE}*(\\w)", "$1$2"))
-    return strip(F.regexp_replace(F.translate(c, "\n", " "), f"{_SPACE_CLASS}+", " "))
+    return strip(_one_blank(F.replace(c, F.lit("\n"), F.lit(" ")), _SPACE_CLASS))
 
 
 def fold(c: Column) -> Column:
     """Text for comparison: quotes and dashes straightened, white space collapsed, lower case where the length stays."""
     marks = plain.SINGLE_QUOTES + plain.DOUBLE_QUOTES + plain.DASHES
     plain_marks = "'" * len(plain.SINGLE_QUOTES) + '"' * len(plain.DOUBLE_QUOTES) + "-" * len(plain.DASHES)
-    # one pass for all single characters: a capital sigma goes too, as its lower case must not depend on its neighbours
-    c = F.regexp_replace(F.translate(c, marks + "\u03a3", plain_marks + "\u03c3"), f"{ANY_SPACE}+", " ")
-    # U+0130 is the one letter that lower() lengthens
-    return F.when(~F.contains(c, F.lit("\u0130")), F.lower(c)).otherwise(F.array_join(F.transform(F.split(c, "\u0130", -1), F.lower), "\u0130"))
+    # a capital sigma goes too, as its lower case must not depend on its neighbours; most texts have none of these, and
+    # translate looks every character up
+    marked = F.translate(c, marks + "\u03a3", plain_marks + "\u03c3")
+    plainer = _one_blank(F.when(F.regexp_like(c, F.lit(f"[{marks}\u03a3]")), marked).otherwise(c), ANY_SPACE)
+    # U+0130 is the one letter that lower() lengthens; asked of the text itself, so that each branch folds it once
+    return F.when(~F.contains(c, F.lit("\u0130")), F.lower(plainer)).otherwise(F.array_join(F.transform(F.split(plainer, "\u0130", -1), F.lower), "\u0130"))
 
 
 def word_count(c: Column) -> Column:
