@@ -45,8 +45,9 @@ BLOCK = 256
 STARS = 1
 #: Comparisons with one text in one task; more are dealt out to several.
 RUN = 500
-#: Bits of the filter of ids that is broadcast (16 MB whatever the number of ids).
+#: Most bits of the filter of ids that is broadcast (16 MB), and bits for each id below that.
 FILTER_BITS = 1 << 27
+ID_BITS = 64
 #: Tasks that a key of over 1/HOT_SHARE of all rows is dealt out over.
 SALTS = 64
 
@@ -123,10 +124,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _suspected(docs: DataFrame, prints: DataFrame, suspects: DataFrame) -> DataFrame:
     """doc_id and text of the rows that may be the first of their words in ``suspects``, without moving a text.
 
-    The least ids of the words in question set bits of a filter of FILTER_BITS, sent to the texts; all rows without an id
-    share a bit.  A row that passes by chance costs room, no result: the join on the words is exact.
+    The least ids of the words in question set bits of a filter of ID_BITS for each, FILTER_BITS at most, sent to the
+    texts; all rows without an id share a bit.  A row that passes by chance costs room, no result: the join on the words
+    is exact.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(min(FILTER_BITS, 1 << (ID_BITS * suspects.count()).bit_length())))
     ids = prints.join(suspects.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     bits = ids.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     at = F.bitmap_bit_position(bit)
@@ -171,7 +173,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     b.append(star.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    held = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("held"))
+    held = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("held")), "pair-counts")
     parts = F.ceil(F.col("held") / RUN).cast("int")
     stars = held.join(texts.withColumnRenamed("node", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(True).alias("head"), F.lit(None).cast("binary").alias("node"), "words")
     dealt = join_groups(pairs, held, "b", "held", pairs.count()).select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
@@ -229,8 +231,12 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _remaining(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
-    """Links between the roots of each bucket (rows of key, node, root), every pair of blocks in a task of its own."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+    """Links between the roots of each bucket (rows of key, node, root), every pair of blocks in a task of its own.
+
+    The steps are tables of their own: as one plan, each join of hot and other groups doubles all that stands below it.
+    A text in many blocks is dealt out once for RUN of them; no text goes through the driver.
+    """
+    sizes = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("held")), "bucket-sizes")
     blocks = F.ceil(F.col("held") / block).cast("int")
     rows = (
         join_groups(members, sizes, "key", "held", members.count())
@@ -244,8 +250,12 @@ def _remaining(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
             "root",
         )
     )
-    held = rows.groupBy("node").agg(F.count(F.lit(1)).alias("held"))
-    full = join_groups(rows, held.join(texts, "node"), "node", "held", rows.count()).select("key", "part", "side", "node", "root", "sketch", "words")
+    rows = written(rows, "block-members")
+    held = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("held")), "member-counts")
+    copies = F.ceil(F.col("held") / RUN).cast("int")
+    copied = held.join(texts, "node").select("node", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "sketch", "words")
+    placed = join_groups(rows, held, "node", "held", rows.count()).withColumn("copy", F.pmod(F.xxhash64("key", "part"), copies).cast("int"))
+    full = placed.join(copied, ["node", "copy"]).select("key", "part", "side", "node", "root", "sketch", "words")
     dealt = full.repartition(numbered_partitions(members.sparkSession), "key", "part").sortWithinPartitions("key", "part")
     return dealt.mapInArrow(_bucket_links, "a binary, b binary")
 
@@ -263,7 +273,7 @@ def similar_components(docs: DataFrame, stars: int = STARS, block: int = BLOCK)
     texts = written(words, "suspect-words")
 
     links = None
-    left = members.join(suspects, "node").select("key", "node", "size", "mates", F.col("node").alias("root"))
+    left = written(members.join(suspects, "node").select("key", "node", "size", "mates", F.col("node").alias("root")), "open-buckets")
     turn, opened, before = 0, members.count(), None
     while opened:
         starred = turn < stars or (turn and opened * 2 <= before)

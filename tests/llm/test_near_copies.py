@@ -80,3 +80,15 @@ def test_rows_without_an_id_and_an_id_of_two_texts(spark):
         assert sum(x in ((None, texts[1]), (None, near(texts[1]))) for x in got) == 1
         assert sorted((x for x in got if x[0] is not None or x[1] == texts[0]), key=str) == sorted(want, key=str)
         assert len(got) == len(want) + 1
+
+
+def test_the_last_round_is_a_short_plan_and_sends_no_text_through_the_driver(spark):
+    node = lambda i: i.to_bytes(16, "big")
+    members = spark.createDataFrame([(k, node(i), node(i)) for k in range(5) for i in range(k, 30)], "key long, node binary, root binary")
+    words = lambda i: " ".join(f"w{j + i // 10 * 100}" for j in range(i % 2, 60)).encode()
+    found = [(node(i), words(i), shingles.sketch_of(shingles.shingles(words(i).split())).tobytes()) for i in range(30)]
+    links = shingles._remaining(members, spark.createDataFrame(found, "node binary, words binary, sketch binary"), 7)
+    plan = links._sc._jvm.PythonSQLUtils.explainString(links._jdf.queryExecution(), "formatted")
+    assert plan.count("Exchange\n") <= 12
+    assert not [x for x in plan.split("\n\n") if "BroadcastExchange" in x.split("\n")[0] and "words" in x]
+    assert {frozenset(r) for r in links.collect()} and all(int.from_bytes(r["a"], "big") // 10 == int.from_bytes(r["b"], "big") // 10 for r in links.collect())
