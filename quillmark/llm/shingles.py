@@ -1,10 +1,12 @@
 """Near copies by the words they share: components of texts whose sets of five-word shingles have a Jaccard similarity
 of SIMILAR or more.
 
-Candidates meet by MinHash in BANDS bands of ROWS values: a pair of similarity s is missed by (1 - s**ROWS)**BANDS, less
-than one in ten thousand at 0.8 and one in 10**9 at 0.9.  SimHash bits do not serve here: at a similarity of 0.8 two
-64-bit fingerprints differ in about 10 bits, so a budget that finds nearly all such pairs (17) also lets one in ten
-thousand unrelated pairs through.  Every link is verified on the whole shingle sets, so no other document is lost; where
+Candidates come by SimHash first: 64-bit fingerprints of the shingle sets, linked by a given search (pigeonring filtering);
+texts of one fingerprint are candidates of the least of them.  At a similarity of 0.8 two fingerprints differ in about 10
+bits, and a budget that finds nearly all such pairs (17) leaves pigeonring nothing to prune, so its few bits reach
+the close copies only.  For the other pairs, those whose groups SimHash has not joined, candidates meet by MinHash in
+BANDS bands of ROWS values: a pair of similarity s is missed by (1 - s**ROWS)**BANDS, less than one in ten thousand at 0.8
+and one in 10**9 at 0.9.  Every link is verified on the whole shingle sets, so no other document is lost; where
 a bucket's pairs are many, the sketches are compared first (a byte of each MinHash value: pairs at 0.8 differ in 24 of
 120 on average, and SKETCH_BITS is five standard deviations beyond).
 
@@ -22,7 +24,7 @@ words are equal.  A null text has no words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +86,14 @@ def sketch_of(found: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint8)
 
 
+def print_of(found: np.ndarray) -> int:
+    """64-bit SimHash of a set, as a signed number: a bit is set if it is set in over half of the hashes."""
+    votes = np.zeros(64, np.int64)
+    for lo in range(0, len(found), CHUNK):
+        votes += np.unpackbits(found[lo : lo + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(found)).tobytes(), "big", signed=True)
+
+
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     """One key for each band: its number, then the band's bytes."""
     raw = sketch.reshape(-1, ROWS).astype(np.int64)
@@ -98,11 +108,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, size (distinct shingles), keys and sketch of every row."""
+    """doc_id, node, size (distinct shingles), keys, sketch and fp (fingerprint) of every row."""
 
     def run(batches):
         for b in batches:
-            nodes, keys, sizes, sketches = [], [], [], []
+            nodes, keys, sizes, sketches, prints = [], [], [], [], []
             for x in b.column(1).cast(pa.large_binary()):
                 words = words_of(x.as_py() or b"")
                 found = shingles(words)
@@ -111,10 +121,23 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 keys.append(band_keys(sketch))
                 sizes.append(len(found))
                 sketches.append(sketch.tobytes())
-            columns = [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "size", "keys", "sketch"])
+                prints.append(print_of(found))
+            columns = [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "size", "keys", "sketch", "fp"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, node binary, size long, keys array<long>, sketch binary, fp long")
+
 
-    return _texts(docs).mapInArrow(run, "doc_id long, node binary, size long, keys array<long>, sketch binary")
+def _close(prints: DataFrame, search: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints ``search`` links; a fingerprint's least node stands for it and is paired
+    with its others."""
+    nodes = written(prints.select("fp", "node").distinct(), "print-nodes")
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("held")), "prints")
+    links = written(search(least.select("fp"), least.count()), "print-links")
+    ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_node")) for c in ("a", "b")]
+    far = links.join(ends[0], "a").join(ends[1], "b").select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b"))
+    same = join_groups(nodes, least.where("held > 1"), "fp", "held", nodes.count()).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return written(far.unionByName(same).distinct(), "print-pairs")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -260,8 +283,11 @@ def _remaining(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
     return dealt.mapInArrow(_bucket_links, "a binary, b binary")
 
 
-def similar_components(docs: DataFrame, stars: int = STARS, block: int = BLOCK) -> DataFrame:
-    """doc_id, node (of the text's words) and root (one for each component) of every row."""
+def similar_components(docs: DataFrame, stars: int = STARS, block: int = BLOCK, search: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """doc_id, node (of the text's words) and root (one for each component) of every row.
+
+    search gives the links (a, b) among a number of distinct fingerprints (column fp), for the candidates that come first.
+    """
     prints = written(_sketches(docs), "sketches")
     keys = prints.select("node", "size", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("held")).where("low <> high")
@@ -269,12 +295,20 @@ def similar_components(docs: DataFrame, stars: int = STARS, block: int = BLOCK)
     members = written(_salted(keys, shared, prints.count() * BANDS).select("key", "node", "size", "held").distinct(), "buckets")
     suspects = written(members.groupBy("node").agg(F.sum("held").alias("mates")), "suspects")
     sketches = written(prints.select("node", "sketch").join(suspects.select("node"), "node", "left_semi").distinct(), "suspect-sketches")
-    words = _words(_suspected(docs, prints, suspects)).join(suspects.select("node"), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+    close = None if search is None else _close(prints, search)
+    wanted = suspects.select("node")
+    if close is not None:
+        wanted = written(wanted.unionByName(close.select(F.col("a").alias("node"))).unionByName(close.select(F.col("b").alias("node"))).distinct(), "wanted")
+    words = _words(_suspected(docs, prints, wanted)).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
     texts = written(words, "suspect-words")
 
-    links = None
-    left = written(members.join(suspects, "node").select("key", "node", "size", "mates", F.col("node").alias("root")), "open-buckets")
-    turn, opened, before = 0, members.count(), None
+    left = members.join(suspects, "node").select("key", "node", "size", "mates", F.col("node").alias("root"))
+    if close is None:
+        links, left = None, written(left, "open-buckets")
+    else:
+        links = written(_verified(close, texts).withColumn("turn", F.lit(-1)), "close-links")
+        left = _open(left, links)
+    turn, opened, before = 0, left.count(), None
     while opened:
         starred = turn < stars or (turn and opened * 2 <= before)
         if starred:
@@ -290,17 +324,23 @@ def similar_components(docs: DataFrame, stars: int = STARS, block: int = BLOCK)
         links = found if links is None else links.unionByName(found)
         if not starred:
             break
-        # the first has met all others of its bucket, so it is done there; texts linked to one text need not meet
-        groups = links.groupBy("a").agg(F.min(F.struct("turn", "b")).alias("to")).select(F.col("a").alias("node"), "to.b")
-        placed = joined.join(groups, "node", "left").select("key", "node", "size", "mates", F.coalesce("b", "node").alias("root"))
-        placed = written(placed, "placed-buckets")
-        open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("held")).where("low <> high").select("key", "held")
-        left = written(join_groups(placed, written(open_keys, "open-keys"), "key", "held", max(1, placed.count())).select("key", "node", "size", "mates", "root"), "open-buckets")
+        # the first has met all others of its bucket, so it is done there
+        left = _open(joined, links)
         turn, before, opened = turn + 1, opened, left.count()
     rows = prints.select("doc_id", "node")
     return rows.withColumn("root", F.col("node")) if links is None else _placed(rows, written(components(links), "near-roots"))
 
 
+def _open(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows (key, node, size, mates) of buckets with several roots; texts linked to one text need not meet."""
+    groups = links.groupBy("a").agg(F.min(F.struct("turn", "b")).alias("to")).select(F.col("a").alias("node"), "to.b")
+    placed = rows.join(groups, "node", "left").select("key", "node", "size", "mates", F.coalesce("b", "node").alias("root"))
+    placed = written(placed, "placed-buckets")
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("held")).where("low <> high").select("key", "held")
+    found = join_groups(placed, written(open_keys, "open-keys"), "key", "held", max(1, placed.count()))
+    return written(found.select("key", "node", "size", "mates", "root"), "open-buckets")
+
+
 def _salted(keys: DataFrame, shared: DataFrame, total: int) -> DataFrame:
     """Join of ``keys`` with ``shared`` on the key.  Those of over 1/HOT_SHARE of all rows, fewer than HOT_SHARE, are
     dealt out over SALTS; the plan is the same however many there are."""

@@ -239,11 +239,12 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
     It is the row with the smallest doc_id, one without a doc_id only if the component has no other; of several the
     one of the smallest text.  Rows are told apart by their words and doc_id, both taken from the row where it stands, so
     rows that share a doc_id, or have none, are never mixed up with those of another component.  The texts take part in
-    one shuffle, on words and doc_id, at every size.
+    one shuffle, on words and doc_id, at every size.  Candidates come by ``near_links`` first, by MinHash where the bits do
+    not reach; each link is verified (``shingles``).
     """
     words = F.arrow_udf(lambda texts: pa.array([shingles.node_of(shingles.words_of(x.as_py() or b"")) for x in texts.cast(pa.large_binary())], pa.binary()), "binary")
     key = lambda node, c: F.concat_ws("/", F.hex(node), c.cast("string")).alias("keep_key")  # noqa: E731  # a null id adds nothing
-    found = shingles.similar_components(docs)
+    found = shingles.similar_components(docs, search=near_links)
     least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("least"))
     keep = least.select(key(F.col("least.node"), F.col("least.doc_id")))
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("text", F.col("row.text").cast("string"))

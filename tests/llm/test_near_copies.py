@@ -92,3 +92,23 @@ def test_the_last_round_is_a_short_plan_and_sends_no_text_through_the_driver(spa
     assert plan.count("Exchange\n") <= 12
     assert not [x for x in plan.split("\n\n") if "BroadcastExchange" in x.split("\n")[0] and "words" in x]
     assert {frozenset(r) for r in links.collect()} and all(int.from_bytes(r["a"], "big") // 10 == int.from_bytes(r["b"], "big") // 10 for r in links.collect())
+
+
+def test_the_stage_takes_its_first_candidates_from_the_simhash_search(spark, monkeypatch):
+    texts = corpus(7)
+    roots, searched, near = brute(texts), [], simhash.near_links
+    monkeypatch.setattr(simhash, "near_links", lambda prints, n: searched.append((prints, n)) or near(prints, n))
+    checked, verified = [], shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, words: checked.append(pairs) or verified(pairs, words))
+    kept = simhash.drop_near_copies(documents(spark, list(enumerate(texts))))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, r in roots.items() if i == r)
+    prints = [shingles.print_of(shingles.shingles(shingles.words_of((t or "").encode()))) for t in texts]
+    assert len(searched) == 1 and searched[0][1] == len(set(prints)) and {r["fp"] for r in searched[0][0].collect()} == set(prints)
+    # of the first candidates every component of prints within 3 bits is whole
+    nodes = [shingles.node_of(shingles.words_of((t or "").encode())) for t in texts]
+    at = {n: i for i, n in reversed(list(enumerate(nodes)))}
+    differ = lambda i, j: ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count()
+    firsts = sorted(set(at.values()))
+    want = union([(i, j) for i in firsts for j in firsts if j < i and differ(i, j) <= 3], firsts)
+    assert union([(at[bytes(r["a"])], at[bytes(r["b"])]) for r in checked[0].collect()], firsts) == want
+    assert len(set(want.values())) < len(firsts)
