@@ -37,7 +37,8 @@ LEXICON = 4000  # words
 BUCKETS = 1 << 15
 GRAMS = (1, 2, 3, 4)
 TRAIN_WORDS = 128  # words of a training sequence
-SLICE_BYTES = 6 << 20
+#: Bytes of text, and distinct words, scored at once; they bound a worker's memory.
+SLICE_BYTES, WORDS = 3 << 20, 25_000
 
 
 def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -93,7 +94,7 @@ def scores(words: list[str], model: dict) -> np.ndarray:
     """Log potentials of every word for every language."""
     if not words:
         return np.zeros((0, len(model["langs"])))
-    out = np.concatenate([Features(words[lo : lo + 100_000]).score(model["grams"]) for lo in range(0, len(words), 100_000)])
+    out = np.concatenate([Features(words[lo : lo + WORDS]).score(model["grams"]) for lo in range(0, len(words), WORDS)])
     rows = np.fromiter((model["lexicon"].get(w, -1) for w in words), np.int64, len(words))
     out[rows >= 0] += model["known"][rows[rows >= 0]]
     return out

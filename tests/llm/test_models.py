@@ -1,7 +1,9 @@
 import html
 import itertools
+import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -230,3 +232,17 @@ def test_pages_of_odd_rows(spark):
     by = {r["page_id"]: r["text"] for r in got}
     assert by[None] == by[2] == by[6] == "" and len(by[4]) == 499_999
     assert html_content.extract(df.where("false")).count() == 0
+
+
+def test_scoring_languages_takes_little_memory_at_once():
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 12))) for _ in range(400)) for _ in range(2600)]
+    model = language.train([f"{w} {w}s {t[:400]}" for w, t in zip(["the", "und"] * 20, texts, strict=False)], ["en", "de"] * 20)
+    tracemalloc.start()
+    column, most = pa.array(texts), 0
+    for lo, hi in language.slices(column, language.SLICE_BYTES):
+        language.posterior_sums(column.slice(lo, hi - lo), model)
+        most = max(most, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert most < 96 << 20  # 162 MB with slices of 6 MB
+    assert most < 192 << 20
